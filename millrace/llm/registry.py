@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import langid, mixing, ogg, sharding
 
-MODULES = (mixing, sharding)
+MODULES = (mixing, langid, sharding, ogg)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
