@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, ogg, sharding
+from . import html_text, langid, mixing, ogg, secrets, sharding
 
-MODULES = (mixing, langid, sharding, ogg)
+MODULES = (mixing, secrets, langid, html_text, sharding, ogg)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
