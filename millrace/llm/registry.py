@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, langid, mixing, ogg, pii, secrets, sharding
+from . import html_text, langid, mixing, ogg, pii, quality, secrets, sharding
 
-MODULES = (mixing, secrets, pii, langid, html_text, sharding, ogg)
+MODULES = (quality, mixing, secrets, pii, langid, html_text, sharding, ogg)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

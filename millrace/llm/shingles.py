@@ -20,6 +20,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_APART = np.zeros(256, dtype=bool)
+_APART[:128] = [not chr(i).isalnum() for i in range(128)]
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -66,13 +68,18 @@ def string_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def text_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, for words of ASCII letters and digits and of bytes beyond ASCII."""
+    return word_hashes(data, offs, _APART)
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a chunk, and for each row the index of its first word (one more entry than rows)."""
     n = len(data)
     if n == 0:
         return np.zeros(0, U64), np.zeros(len(offs), np.int64)
     low = _FOLD[data]
-    word = ~_SPACE[low]
+    word = ~apart[low]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     inner = offs[1:-1]
@@ -92,7 +99,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h, np.searchsorted(at, offs, side="left")
 
 
-def shingle_sets(col: pa.Array, k: int = 4, low: int | None = None) -> Iterator[np.ndarray]:
+def shingle_sets(col: pa.Array, k: int = 4) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its k-word shingles.
 
     A row of fewer than k words has its whole sequence as the one shingle; a
