@@ -60,12 +60,21 @@ def _codes(toks: Column) -> Column:
     return F.transform(toks, lambda w: F.when((w >= "0") & (w < ":"), F.lit(1).cast("long")).when(w.startswith(NAME_MARK), F.lit(2).cast("long")).when(w.startswith(UNIT_MARK), F.lit(3).cast("long")).otherwise(F.xxhash64(w)))
 
 
+def _once(value: Column) -> Column:
+    """The value, marked so that the optimiser neither repeats it nor moves a filter on it below its projection.
+
+    A filter on an exploded array would else be moved below the projections,
+    where the arrays would be worked out anew for every element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _with_windows(df: DataFrame, window: int) -> DataFrame:
     """Adds __tok, __code and __hash: the hash of the window at each position."""
     out = df.withColumn("__tok", tokens(F.col("__text"))).drop("__text").withColumn("__code", _codes(F.col("__tok")))
     starts = F.sequence(F.lit(0), F.size("__code") - window)
     at = lambda i: F.xxhash64(*(F.get("__code", i + k) for k in range(window)))
-    return out.withColumn("__hash", F.when(F.size("__code") >= window, F.transform(starts, at)).otherwise(F.array().cast("array<bigint>")))
+    return out.withColumn("__hash", _once(F.when(F.size("__code") >= window, F.transform(starts, at)).otherwise(F.array().cast("array<bigint>"))))
 
 
 def _slots(pos: Column, window: int) -> Column:
@@ -108,8 +117,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     size = 1 << BITMAP_BITS
     passes = lambda h: F.get(bitmap, F.shiftright(F.pmod(h, F.lit(size)), 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(h, F.lit(size)) % 64).cast("int"))) != 0
     hits = F.filter(F.transform("__hash", lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))), lambda x: passes(x["hash"]))
-    src = src.withColumn("__hit", hits).where(F.size("__hit") > 0)
-    rows = src.withColumn("__hit", F.transform("__hit", lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), _slots(x["pos"], window).alias("slots")))).select("__doc", F.inline("__hit"))
+    src = src.withColumn("__hit", hits).withColumn("__hit", _once(F.transform("__hit", lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), _slots(x["pos"], window).alias("slots")))))
+    rows = src.select("__doc", F.inline("__hit"))
     side = F.broadcast(bench) if n <= MOST_BROADCAST else bench
     met = rows.join(side, "hash").where(F.size("slots") == F.size("item_slots"))
     pairs = F.transform(F.arrays_zip("slots", "item_slots"), lambda z: F.struct(z["slots"]["kind"].alias("kind"), z["item_slots"]["value"].alias("item"), z["slots"]["value"].alias("doc")))
@@ -148,11 +157,11 @@ def oracle() -> str:
     return f"""
         WITH b AS (SELECT * FROM ({windows % ("(" + _sql_tokens("benchmark", "item_id") + ")")}) WHERE len(list_filter(k, lambda x: x = 0)) >= {LEAST_LITERAL}),
         d AS ({windows % ("(" + _sql_tokens("documents", "doc_id") + ")")}),
-        met AS (SELECT d.id AS doc_id, b.id AS item_id, b.n AS item_tokens, d.pos - b.pos AS diagonal, b.pos AS at, d.w AS dw, b.w AS bw, b.k AS k FROM d JOIN b ON d.template = b.template),
+        met AS (SELECT d.id AS doc_id, b.id AS item_id, b.n AS item_tokens, d.pos - b.pos AS diagonal, b.pos AS bpos, d.w AS dw, b.w AS bw, b.k AS k FROM d JOIN b ON d.template = b.template),
         slots AS (SELECT DISTINCT doc_id, item_id, diagonal, k[j] AS kind, bw[j] AS item, dw[j] AS doc FROM (SELECT *, unnest(range(1, {WINDOW + 1})) AS j FROM met) WHERE k[j] > 0),
         bad AS (SELECT DISTINCT doc_id, item_id, diagonal FROM (SELECT doc_id, item_id, diagonal, count(*) OVER (PARTITION BY doc_id, item_id, diagonal, kind, item) AS n1, count(*) OVER (PARTITION BY doc_id, item_id, diagonal, kind, doc) AS n2 FROM slots) WHERE n1 > 1 OR n2 > 1),
         new AS (SELECT doc_id, item_id, diagonal, bool_or(item <> doc) AS new_values FROM slots GROUP BY ALL),
-        steps AS (SELECT doc_id, item_id, item_tokens, diagonal, least({WINDOW}, at - coalesce(lag(at) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY at), -99)) AS step FROM (SELECT DISTINCT doc_id, item_id, item_tokens, diagonal, at FROM met)),
+        steps AS (SELECT doc_id, item_id, item_tokens, diagonal, least({WINDOW}, bpos - coalesce(lag(bpos) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY bpos), -99)) AS step FROM (SELECT DISTINCT doc_id, item_id, item_tokens, diagonal, bpos FROM met)),
         sums AS (SELECT doc_id, item_id, item_tokens, diagonal, sum(step) AS matched FROM steps GROUP BY ALL),
         kept AS (SELECT s.*, coalesce(n.new_values, false) AS new_values FROM sums s LEFT JOIN new n USING (doc_id, item_id, diagonal) ANTI JOIN bad USING (doc_id, item_id, diagonal)),
         best AS (SELECT doc_id, item_id, item_tokens, max(struct_pack(m := matched, same := NOT new_values)) AS b FROM kept GROUP BY ALL)
