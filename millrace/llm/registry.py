@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, langid, mixing, ogg, pii, quality, secrets, sharding
+from . import decontaminate, html_text, langid, mixing, near_join, ogg, pii, quality, secrets, sharding
 
-MODULES = (quality, mixing, decontaminate, secrets, pii, langid, html_text, sharding, ogg)
+MODULES = (quality, near_join, mixing, decontaminate, secrets, pii, langid, html_text, sharding, ogg)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
