@@ -1 +1 @@
-"""See the package's README."""
+"""Column functions."""
