@@ -38,9 +38,9 @@ def lookup_range(lines: DataFrame, start: int, stop: int) -> DataFrame:
 def lookup_list(lines: DataFrame, keys: Sequence[int]) -> DataFrame:
     """(pos, line_no, ...) for the given numbers, with their order and repeats."""
     if not keys:
-        return lines.where(F.lit(False)).select(F.lit(0).alias("pos"), "*")
+        return lines.where(F.lit(False)).select(F.lit(0).alias("pos"), *(c for c in lines.columns if c != "pos"))
     wanted = lines.sparkSession.range(1).select(F.posexplode(F.array(*(F.lit(k).cast("bigint") for k in keys))).alias("pos", "line_no"))
-    return lines.where(F.col("line_no").isin(*set(keys))).join(F.broadcast(wanted), "line_no").select("pos", *lines.columns)
+    return lines.where(F.col("line_no").isin(*set(keys))).select(*(c for c in lines.columns if c != "pos")).join(F.broadcast(wanted), "line_no").select("pos", *(c for c in lines.columns if c != "pos"))
 
 
 def offsets(lines: DataFrame, group: str, pos: str, line: str) -> DataFrame:

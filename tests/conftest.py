@@ -3,7 +3,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent / "llm")]
+HERE = Path(__file__).resolve().parent
+sys.path[:0] = [str(HERE.parent), str(HERE), str(HERE / "llm")]
 
 
 @pytest.fixture(scope="session")
