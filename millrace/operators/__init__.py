@@ -1 +1 @@
-"""See the package's README."""
+"""Operators on DataFrames."""

@@ -1 +1 @@
-"""See the package's README."""
+"""The registered queries and their SQL."""

@@ -1 +1 @@
-"""See the package's README."""
+"""Readers and sinks."""

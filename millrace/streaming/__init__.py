@@ -1 +1 @@
-"""See the package's README."""
+"""Structured Streaming."""
