@@ -11,6 +11,7 @@ distances by the language's name, so results don't depend on partitioning.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 TOP = 400
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_WORDS_HELD = 150_000
+_WORDS_HELD = 400_000
 _GRAMS_HELD = 400_000
 
 
@@ -45,9 +46,12 @@ class Grams:
         return i
 
     def _word(self, w: str) -> bytes:
-        p = f"_{w}_"
-        grams = [*w, *(p[i : i + 2] for i in range(len(p) - 1)), *(p[i : i + 3] for i in range(len(p) - 2))]
-        out = np.array([self._id(g) for g in grams], np.int32).tobytes()
+        p, n = f"_{w}_", len(w)
+        grams = [*w, *[p[i : i + 2] for i in range(n + 1)], *[p[i : i + 3] for i in range(n)]]
+        known = list(map(self.ids.get, grams))
+        if None in known:
+            known = [self._id(g) for g in grams]
+        out = array("i", known).tobytes()
         if len(w) <= 64:
             self.words[w] = out
         return out
@@ -129,9 +133,9 @@ def identify(df: DataFrame, profiles: DataFrame, text: str = "text", top: int =
         for b in batches:
             pred, score, margin = [], [], []
             for t in b.column(len(keep)):
-                c = grams.count(_text(t.as_py()))
-                have = grams.top(c, top)
-                if not len(have) or not langs:
+                plain = _text(t.as_py())
+                have = grams.top(grams.count(plain), top)
+                if not len(have) or not langs or not any(map(str.isalpha, plain)):
                     pred.append(UNKNOWN), score.append(0.0), margin.append(0.0)
                     continue
                 if places.shape[1] < len(grams.names):
