@@ -8,7 +8,9 @@ an item on the same diagonal (position in the document minus position in the
 item) belong together; their slots must be consistent: each of the item's
 values stands for one value of the document, and the reverse.  So a question
 is caught with other numbers and names in it, while a chance meeting of
-templates is not.
+templates is not.  What is a name hangs on capital letters, so windows in
+which only numbers and units are placeholders, and names are words whatever
+their case, are joined as well.
 
 Only built-in functions are used.  Before windows leave their row they are
 held against a bitmap of the benchmark's hashes (``2**BITMAP_BITS`` bits,
@@ -38,26 +40,39 @@ _MARKS = (
     ("([0-9])[.,](?=[0-9])", "$1"),
     (f"(?i)([0-9]) ?({UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1 {UNIT_MARK}$2"),
 )
+#: The last of these where a unit may be a name too, and keeps that mark before its own.
+_UNIT_MARKS = (f"(?i)([0-9]) ?({NAME_MARK}?)({UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1 $2{UNIT_MARK}$3")
 _APART = f"[^\\p{{L}}\\p{{N}}{NAME_MARK}{UNIT_MARK}]+"
 
 
 def tokens(text: Column) -> Column:
-    """The token array of a text; names and units start with their mark, numbers with a digit."""
+    """The token array of a text; names and units start with their mark, a unit that is also a name with both, numbers with a digit."""
     t = F.coalesce(text.cast("string"), F.lit(""))
     # the first pattern takes the letter before a name, so names in a row need it twice
-    for pattern, to in (_MARKS[0], *_MARKS):
+    for pattern, to in (_MARKS[0], *_MARKS[:2], _UNIT_MARKS):
         t = F.regexp_replace(t, pattern, to)
-    return F.filter(F.split(F.lower(t), _APART), lambda x: x != "")
+    # by way of upper case, so that letters whose upper case is several fold too
+    return F.filter(F.split(F.lower(F.upper(t)), _APART), lambda x: x != "")
+
+
+def _is_name(token: Column) -> Column:
+    return token.startswith(NAME_MARK)
+
+
+def _plain(token: Column) -> Column:
+    """The token without its marks."""
+    return F.translate(token, NAME_MARK + UNIT_MARK, "")
 
 
 def _kind(token: Column) -> Column:
     """0 literal, 1 number, 2 name, 3 unit."""
-    return F.when((token >= "0") & (token < ":"), 1).when(token.startswith(NAME_MARK), 2).when(token.startswith(UNIT_MARK), 3).otherwise(0)
+    return F.when((token >= "0") & (token < ":"), 1).when(_is_name(token), 2).when(token.startswith(UNIT_MARK), 3).otherwise(0)
 
 
-def _codes(toks: Column) -> Column:
-    """A long for each token: its hash, or the number of its placeholder."""
-    return F.transform(toks, lambda w: F.when((w >= "0") & (w < ":"), F.lit(1).cast("long")).when(w.startswith(NAME_MARK), F.lit(2).cast("long")).when(w.startswith(UNIT_MARK), F.lit(3).cast("long")).otherwise(F.xxhash64(w)))
+def _plain_codes(toks: Column) -> Column:
+    """A long for each token, whatever its case: its hash, or the number of its placeholder; names are words."""
+    is_unit = lambda w: w.startswith(UNIT_MARK) | w.startswith(NAME_MARK + UNIT_MARK)
+    return F.transform(toks, lambda w: F.when((w >= "0") & (w < ":"), F.lit(1).cast("long")).when(is_unit(w), F.lit(3).cast("long")).when(_is_name(w), F.xxhash64(F.substring(w, 2, 1 << 30))).otherwise(F.xxhash64(w)))
 
 
 def _once(value: Column) -> Column:
@@ -70,25 +85,32 @@ def _once(value: Column) -> Column:
 
 
 def _with_windows(df: DataFrame, window: int) -> DataFrame:
-    """Adds __tok, __code and __hash: the hash of the window at each position."""
-    out = df.withColumn("__tok", tokens(F.col("__text"))).drop("__text").withColumn("__code", _codes(F.col("__tok")))
-    starts = F.sequence(F.lit(0), F.size("__code") - window)
-    at = lambda i: F.xxhash64(*(F.get("__code", i + k) for k in range(window)))
-    return out.withColumn("__hash", _once(F.when(F.size("__code") >= window, F.transform(starts, at)).otherwise(F.array().cast("array<bigint>"))))
+    """Adds __tok, and for the window at each position __hash, of its template, and __folded, of its plain words."""
+    out = df.withColumn("__tok", _once(tokens(F.col("__text")))).drop("__text").withColumn("__plain", _once(_plain_codes(F.col("__tok"))))
+    out = out.withColumn("__code", _once(F.transform("__tok", lambda w, i: F.when(_is_name(w), F.lit(2).cast("long")).otherwise(F.get("__plain", i)))))
+    starts = F.sequence(F.lit(1), F.size("__code") - window + 1)
+    at = lambda codes: _once(F.when(F.size(codes) >= window, F.transform(starts, lambda i: F.xxhash64(F.slice(codes, i, window)))).otherwise(F.array().cast("array<bigint>")))
+    return out.withColumn("__hash", at("__code")).withColumn("__folded", at("__plain")).drop("__code", "__plain")
 
 
-def _slots(pos: Column, window: int) -> Column:
-    """(offset, kind, value) of the placeholders in the window at ``pos``."""
-    inside = F.transform(F.slice("__tok", pos + 1, F.lit(window)), lambda w, k: F.struct(k.alias("k"), _kind(w).alias("kind"), w.alias("value")))
-    return F.filter(inside, lambda s: s["kind"] > 0)
+def _words(pos: Column, window: int) -> Column:
+    return F.transform(F.slice("__tok", pos + 1, F.lit(window)), _plain)
 
 
 def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item_id, item_tokens, item_pos, hash, item_slots): the windows with enough literal tokens."""
+    """(item_id, item_tokens, item_pos, hash, item_slots, template): the windows, as template and as plain words, with enough literal tokens.
+
+    ``item_slots`` has the (offset, kind, value) of the placeholders of the item's template.
+    """
     w = _with_windows(items.select(F.col(f"`{key}`").alias("item_id"), F.col(f"`{text}`").alias("__text")), window)
-    rows = w.select("item_id", F.size("__tok").alias("item_tokens"), F.posexplode("__hash").alias("item_pos", "hash"), "__tok")
-    rows = rows.withColumn("item_slots", _slots(F.col("item_pos"), window))
-    return rows.where(F.lit(window) - F.size("item_slots") >= window - (window - LEAST_LITERAL)).drop("__tok")
+    both = F.arrays_zip("__hash", "__folded")
+    rows = w.select("item_id", F.size("__tok").alias("item_tokens"), F.posexplode(both).alias("item_pos", "h"), "__tok")
+    inside = F.transform(F.slice("__tok", F.col("item_pos") + 1, F.lit(window)), lambda w, k: F.struct(k.alias("k"), _kind(w).alias("kind"), _plain(w).alias("value"), (w.startswith(UNIT_MARK) | w.startswith(NAME_MARK + UNIT_MARK)).alias("unit")))
+    rows = rows.withColumn("inside", inside).withColumn("item_slots", F.transform(F.filter("inside", lambda s: s["kind"] > 0), lambda s: F.struct(s["k"].alias("k"), s["kind"].alias("kind"), s["value"].alias("value"))))
+    literal = {"__hash": F.filter("inside", lambda s: s["kind"] == 0), "__folded": F.filter("inside", lambda s: (s["kind"] != 1) & ~s["unit"])}
+    least = window - (window - LEAST_LITERAL)
+    one = lambda h: rows.where(F.size(literal[h]) >= least).select("item_id", "item_tokens", "item_pos", F.col(f"h.{h}").alias("hash"), "item_slots", F.lit(h == "__hash").alias("template"))
+    return one("__hash").unionByName(one("__folded")).groupBy("item_id", "item_tokens", "item_pos", "hash", "item_slots").agg(F.max("template").alias("template"))
 
 
 def _bitmap(windows: DataFrame, bits: int = BITMAP_BITS) -> Column:
@@ -101,11 +123,26 @@ def _bitmap(windows: DataFrame, bits: int = BITMAP_BITS) -> Column:
     return F.split(F.lit(",".join(map(str, full))), ",").cast("array<bigint>")
 
 
+def _one_to_one(pairs: str) -> Column:
+    """Whether each item value stands for one document value, and the reverse."""
+    single = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p[side])))) == F.size(pairs)
+    return single("item") & single("doc")
+
+
+def _verdict(hits: str, window: int) -> Column:
+    """(matched_tokens, same) of windows on one diagonal: the tokens under them, and whether the slots are the item's own."""
+    # a window adds its step from the one before, at most its length
+    covered = F.aggregate(F.array_sort(F.array_distinct(F.col(f"{hits}.at"))), F.struct(F.lit(-window).alias("last"), F.lit(0).alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(x - a["last"], F.lit(window))).alias("n")), lambda a: a["n"])
+    return F.struct(covered.alias("matched_tokens"), F.forall(F.flatten(F.col(f"{hits}.pairs")), lambda p: p["item"] == p["doc"]).alias("same"))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc, item_id, item_tokens, matched_tokens, new_values): the documents that repeat an item or its template.
 
-    ``matched_tokens`` is the most on one consistent diagonal; ``new_values``
-    tells whether slots differ from the item's there.  Null and empty texts
+    ``matched_tokens`` is the most on one consistent diagonal, by templates
+    alone where those suffice, else with the windows of plain words, in which
+    case doesn't count; ``new_values`` tells whether slots differ from the
+    item's there.  Null and empty texts
     and items of fewer than ``window`` tokens match nothing; whole texts are
     searched; repeated rows count once; an empty table on either side gives no
     rows.
@@ -114,23 +151,26 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     n = bench.count()
     bitmap = _bitmap(bench)
     src = _with_windows(docs.select(F.col(f"`{key}`").alias("__doc"), F.col(f"`{text}`").alias("__text")), window)
-    size = 1 << BITMAP_BITS
-    passes = lambda h: F.get(bitmap, F.shiftright(F.pmod(h, F.lit(size)), 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(h, F.lit(size)) % 64).cast("int"))) != 0
-    hits = F.filter(F.transform("__hash", lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))), lambda x: passes(x["hash"]))
-    src = src.withColumn("__hit", hits).withColumn("__hit", _once(F.transform("__hit", lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), _slots(x["pos"], window).alias("slots")))))
+    low = lambda h: h.bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)).cast("int")
+    passes = lambda h: F.getbit(F.get(bitmap, F.shiftright(low(h), 6)), low(h).bitwiseAND(F.lit(63))) == 1
+    hit = lambda h, i, by_template: F.struct(i.alias("pos"), h.alias("hash"), F.lit(by_template).alias("by_template"))
+    folded = F.transform("__folded", lambda h, i: F.when((h != F.get("__hash", i)) & passes(h), hit(h, i, False)))
+    hits = F.concat(F.transform("__hash", lambda h, i: F.when(passes(h), hit(h, i, True))), folded)
+    src = src.withColumn("__hit", _once(F.filter(hits, lambda x: x.isNotNull())))
+    src = src.withColumn("__hit", _once(F.transform("__hit", lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), x["by_template"].alias("by_template"), _words(x["pos"], window).alias("words")))))
     rows = src.select("__doc", F.inline("__hit"))
     side = F.broadcast(bench) if n <= MOST_BROADCAST else bench
-    met = rows.join(side, "hash").where(F.size("slots") == F.size("item_slots"))
-    pairs = F.transform(F.arrays_zip("slots", "item_slots"), lambda z: F.struct(z["slots"]["kind"].alias("kind"), z["item_slots"]["value"].alias("item"), z["slots"]["value"].alias("doc")))
-    by = met.groupBy("__doc", "item_id", "item_tokens", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.array_sort(F.collect_set("item_pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    single = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p[side])))) == F.size("pairs")
-    consistent = single("item") & single("doc")
-    # tokens under the windows: a window adds its step from the one before, at most its length
-    covered = F.aggregate("at", F.struct(F.lit(-window).alias("last"), F.lit(0).alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(x - a["last"], F.lit(window))).alias("n")), lambda a: a["n"])
-    by = by.where(consistent).select("__doc", "item_id", "item_tokens", covered.alias("matched_tokens"), F.exists("pairs", lambda p: p["item"] != p["doc"]).alias("new_values"))
-    best = by.groupBy("__doc", "item_id", "item_tokens").agg(F.max(F.struct("matched_tokens", (~F.col("new_values")).alias("same"))).alias("best"))
-    enough = (F.col("best.matched_tokens") >= LEAST_TOKENS) | (F.col("best.matched_tokens") >= F.col("item_tokens") * LEAST_SHARE)
-    return best.where(enough).select(F.col("__doc").alias(key), "item_id", "item_tokens", F.col("best.matched_tokens").alias("matched_tokens"), (~F.col("best.same")).alias("new_values"))
+    met = rows.join(side, "hash")
+    pairs = F.transform("item_slots", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("item"), F.get("words", s["k"]).alias("doc")))
+    by = met.groupBy("__doc", "item_id", "item_tokens", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set(F.struct(F.col("item_pos").alias("at"), pairs.alias("pairs"), (F.col("template") & F.col("by_template")).alias("strict"))).alias("wide"))
+    by = by.withColumn("strict", F.filter("wide", lambda h: h["strict"]))
+    for side in ("strict", "wide"):
+        by = by.withColumn(f"{side}_pairs", F.array_distinct(F.flatten(F.col(f"{side}.pairs"))))
+    by = by.select("__doc", "item_id", "item_tokens", *(F.when(_one_to_one(f"{side}_pairs"), _verdict(side, window)).alias(side) for side in ("strict", "wide")))
+    best = by.groupBy("__doc", "item_id", "item_tokens").agg(F.max("strict").alias("strict"), F.max("wide").alias("wide"))
+    enough = lambda side: (F.col(f"{side}.matched_tokens") >= LEAST_TOKENS) | (F.col(f"{side}.matched_tokens") >= F.col("item_tokens") * LEAST_SHARE)
+    best = best.withColumn("best", F.when(enough("strict"), F.col("strict")).when(enough("wide"), F.col("wide"))).where("best is not null")
+    return best.select(F.col("__doc").alias(key), "item_id", "item_tokens", F.col("best.matched_tokens").alias("matched_tokens"), (~F.col("best.same")).alias("new_values"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,3 +20,17 @@ def test_empty_tables(spark):
     assert find_leaks(docs.limit(0), items).count() == 0
     assert find_leaks(docs, items.limit(0)).count() == 0
     assert find_leaks(docs.union(docs), items).count() == 1
+
+
+def _found(spark, docs, items):
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): (r.matched_tokens, r.new_values) for r in find_leaks(docs, items).collect()}
+
+
+def test_any_casing(spark):
+    names = "Then Anna gave Ben two apples and 12 Pounds of plums before Carl asked for the rest of them"
+    cased = [f(x) for x in (ITEM, names) for f in (str.upper, str.lower, str.title, str.swapcase)]
+    got = _found(spark, cased, [ITEM, names])
+    assert set(got) == {(i, i // 4) for i in range(8)}
+    assert not any(new for _, new in got.values())
