@@ -10,7 +10,9 @@ values stands for one value of the document, and the reverse.  So a question
 is caught with other numbers and names in it, while a chance meeting of
 templates is not.  What is a name hangs on capital letters, so windows in
 which only numbers and units are placeholders, and names are words whatever
-their case, are joined as well.
+their case, are joined as well.  Where the slots of a diagonal aren't
+one-to-one, its windows without a clash are kept; several values of an item
+may share one of the document.
 
 Only built-in functions are used.  Before windows leave their row they are
 held against a bitmap of the benchmark's hashes (``2**BITMAP_BITS`` bits,
@@ -129,6 +131,25 @@ def _one_to_one(pairs: str) -> Column:
     return single("item") & single("doc")
 
 
+def _clashing(pairs: str) -> Column:
+    """The pairs whose item value stands for several document values."""
+    other = lambda p, q: (p["kind"] == q["kind"]) & (p["item"] == q["item"]) & (p["doc"] != q["doc"])
+    return F.filter(pairs, lambda p: F.exists(pairs, lambda q: other(p, q)))
+
+
+def _agrees(hit: Column) -> Column:
+    """Whether a window's slots agree with the rest of its diagonal.
+
+    An item value that stands for several document values, itself among them,
+    is kept where it stands for itself.  If it isn't among them, only windows
+    that are the item's own word for word count.
+    """
+    same = lambda p: p["item"] == p["doc"]
+    of = lambda p: lambda q: (p["kind"] == q["kind"]) & (p["item"] == q["item"])
+    lost = F.exists("clashing", lambda p: ~F.exists("clashing", lambda q: of(p)(q) & same(q)))
+    return F.forall(hit["pairs"], lambda p: same(p) | ~(lost | F.exists("clashing", of(p))))
+
+
 def _verdict(hits: str, window: int) -> Column:
     """(matched_tokens, same) of windows on one diagonal: the tokens under them, and whether the slots are the item's own."""
     # a window adds its step from the one before, at most its length
@@ -140,8 +161,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """(doc, item_id, item_tokens, matched_tokens, new_values): the documents that repeat an item or its template.
 
     ``matched_tokens`` is the most on one consistent diagonal, by templates
-    alone where those suffice, else with the windows of plain words, in which
-    case doesn't count; ``new_values`` tells whether slots differ from the
+    alone, one-to-one, where those suffice, else with the windows of plain
+    words, in which case doesn't count, less those that clash; ``new_values`` tells whether slots differ from the
     item's there.  Null and empty texts
     and items of fewer than ``window`` tokens match nothing; whole texts are
     searched; repeated rows count once; an empty table on either side gives no
@@ -166,7 +187,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     by = by.withColumn("strict", F.filter("wide", lambda h: h["strict"]))
     for side in ("strict", "wide"):
         by = by.withColumn(f"{side}_pairs", F.array_distinct(F.flatten(F.col(f"{side}.pairs"))))
-    by = by.select("__doc", "item_id", "item_tokens", *(F.when(_one_to_one(f"{side}_pairs"), _verdict(side, window)).alias(side) for side in ("strict", "wide")))
+    by = by.withColumn("clashing", _clashing("wide_pairs")).withColumn("wide", F.filter("wide", _agrees))
+    by = by.select("__doc", "item_id", "item_tokens", F.when(_one_to_one("strict_pairs"), _verdict("strict", window)).alias("strict"), _verdict("wide", window).alias("wide"))
     best = by.groupBy("__doc", "item_id", "item_tokens").agg(F.max("strict").alias("strict"), F.max("wide").alias("wide"))
     enough = lambda side: (F.col(f"{side}.matched_tokens") >= LEAST_TOKENS) | (F.col(f"{side}.matched_tokens") >= F.col("item_tokens") * LEAST_SHARE)
     best = best.withColumn("best", F.when(enough("strict"), F.col("strict")).when(enough("wide"), F.col("wide"))).where("best is not null")

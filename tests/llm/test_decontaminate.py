@@ -34,3 +34,13 @@ def test_any_casing(spark):
     got = _found(spark, cased, [ITEM, names])
     assert set(got) == {(i, i // 4) for i in range(8)}
     assert not any(new for _, new in got.values())
+
+
+def test_edited_copies(spark):
+    years = "the mill by the river was built in 1990 by two brothers and after the flood of 1990 it was sold to the town for a song"
+    sums = "a clerk puts 3 red files on the shelf and 4 blue files under the desk before the office closes for the night"
+    edited = years.replace("1990 it", "1991 it")
+    merged = sums.replace("3", "5").replace("4", "5")
+    got = _found(spark, [edited, merged], [years, sums])
+    assert {(0, 0), (1, 1)} <= set(got)
+    assert got[0, 0][1] is False and got[1, 1][1] is True
