@@ -30,3 +30,10 @@ def test_stages_take_odd_tables(spark):
             assert out.count() <= table.count()
             if k == 3:
                 assert out.count() == table.count()
+
+
+def test_appended_text_is_near(spark):
+    words = [f"w{i}" for i in range(100)]
+    copy = [*words, *(f"x{i}" for i in range(20))]
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 0), (2, " ".join(copy), "en", "s", 0), (3, " ".join(copy[30:]), "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in pipeline.keep_one_of_near(spark, docs, SF).collect()) == [1, 3]
