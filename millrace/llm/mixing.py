@@ -18,7 +18,7 @@ number inside each such bucket, so that no task has a whole source to sort.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,17 +103,19 @@ def _small(table: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     return F.broadcast(table) if rows <= most else table
 
 
-def in_schedule_order(df: DataFrame, key: str = "doc_id", source: str = "source", weights: Mapping[str, int] | None = None, block: int = BLOCK) -> DataFrame:
-    """The rows of ``df``, all of them, sorted globally by slot and position.
+def in_schedule_order(df: DataFrame, key: str = "doc_id", source: str = "source", weights: Mapping[str, int] | None = None, block: int = BLOCK, within: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``df``, all of them, sorted globally by the columns ``within``, if any, then by slot and position.
 
-    Written out, the files read in name order are the mixed stream.  Rows
+    Written out, the files read in name order are the mixed stream; a reader
+    that deals files by size, as Spark's does, loses the order, and the same
+    call on what it read restores it.  Rows
     with equal or null keys stay apart: the slot is joined by key and source
     once per distinct key.
     """
     plan = mix_sources(df, key, source, weights, block)
     plan = plan.groupBy(F.col(key).alias("__k"), F.col(source).alias("__s")).agg(F.min(F.struct("slot", "pos")).alias("__at"))
     on = F.col(f"`{key}`").eqNullSafe(F.col("__k")) & (F.coalesce(F.col(f"`{source}`"), F.lit(NO_SOURCE)) == F.col("__s"))
-    return df.join(plan, on).orderBy(F.col("__at.slot"), F.col("__at.pos")).select(*(F.col(f"`{c}`") for c in df.columns))
+    return df.join(plan, on).orderBy(*(F.col(f"`{c}`") for c in within), F.col("__at.slot"), F.col("__at.pos")).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,3 +37,14 @@ def test_appended_text_is_near(spark):
     copy = [*words, *(f"x{i}" for i in range(20))]
     docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 0), (2, " ".join(copy), "en", "s", 0), (3, " ".join(copy[30:]), "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in pipeline.keep_one_of_near(spark, docs, SF).collect()) == [1, 3]
+
+
+def test_shards_are_in_mixed_order(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = pipeline.run(spark, SF)
+        at = {r.doc_id: (r.slot, r.pos) for r in mixing.mix_sources(got).collect()}
+        rows = [(r.shard, at[r.doc_id]) for r in got.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) > 100 and rows == sorted(rows)
