@@ -66,6 +66,7 @@ class Line:
     text: str
     tags: int
     node: Node
+    linked: int = 0
 
 
 @dataclass
@@ -79,14 +80,15 @@ class _Events(HTMLParser):
         self.at = Node("", None, False)
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def _break(self) -> None:
         text = _SPACES.sub(" ", "".join(self.parts)).strip()
         self.parts = []
         if text and not self.at.apart:
-            self.lines.append(Line(text, self.tags, self.at))
+            self.lines.append(Line(text, self.tags, self.at, self.linked))
             self.tags = 0
+        self.linked = 0
 
     def _leave(self, node: Node) -> None:
         self.at = node.up
@@ -169,6 +171,11 @@ class _Events(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.at.unseen and not self.at.apart:
             self.parts.append(data)
+            n = self.at
+            while n.up is not None and n.tag in INLINE and n.tag != "a":
+                n = n.up
+            if n.tag == "a":
+                self.linked += len(data.strip())
 
     def finish(self) -> list[Line]:
         self.close()
@@ -192,7 +199,7 @@ def content_lines(lines: list[Line], radius: int = 2, sigma: float = 1.0) -> np.
 
 
 def _holder(node: Node) -> Node:
-    """The outermost main element over a line, or else its nearest block that isn't text level."""
+    """The outermost main element over a line, or else its nearest block that isn't text level; a block that a line stands in directly is its paragraph."""
     n, best = node, None
     while n is not None:
         if n.main:
@@ -201,6 +208,10 @@ def _holder(node: Node) -> Node:
     if best is not None:
         return best
     n = node
+    while n.up is not None and n.tag in INLINE:
+        n = n.up
+    if n.up is not None and n.tag == "div":
+        n = n.up
     while n.up is not None and (n.tag in INLINE or n.tag in HEADINGS or n.tag in ("p", "li", "ul", "ol", "blockquote", "pre", "dl", "dt", "dd", "td", "th", "tr", "tbody", "thead", "tfoot", "table", "figure", "figcaption", "section", "address")):
         n = n.up
     return n
@@ -221,10 +232,20 @@ def main_text(html: str | None, radius: int = 2, sigma: float = 1.0) -> str:
     for h, m, x in zip(holders, marked, lines, strict=True):
         if m:
             size[h] = size.get(h, 0) + len(x.text)
-    chosen = {h for h in size if h.main} or {h for h, n in size.items() if 4 * n >= max(size.values())}
+    # a line of links alone doesn't tell where the article is
+    prose = list(dict.fromkeys(h for h, m, x in zip(holders, marked, lines, strict=True) if m and 2 * x.linked <= len(x.text)))
+    chosen = {h for h in size if h.main} or {_common(prose or list(size))}
     return "\n".join(x.text for h, x in zip(holders, lines, strict=True) if h in chosen or any(_under(x.node, c) for c in chosen))
 
 
+def _common(nodes: list[Node]) -> Node:
+    """The lowest element that all the nodes are under."""
+    n = nodes[0]
+    while not all(_under(x, n) for x in nodes):
+        n = n.up
+    return n
+
+
 def _under(node: Node, above: Node) -> bool:
     n: Node | None = node
     while n is not None and n is not above:
