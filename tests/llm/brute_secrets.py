@@ -3,37 +3,47 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
 from millrace.llm import secrets as S
 
-ASSIGN = re.compile("(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+ASSIGN = re.compile("(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
 RUN = re.compile("[A-Za-z0-9+/_=-]+")
 # ``(?i)`` ranges over ASCII only, as in the patterns' own engine
-ALLOWED = [re.compile(p.replace("(?i)", "(?ia:").rstrip(")") + ")" if p.startswith("(?i)") else p) for p in S.ALLOWED]
+ALLOWED = [re.compile(p.replace("(?i)", "(?ia:") + ")" if p.startswith("(?i)") else p) for p in S.ALLOWED]
 
 
 def entropy(run, w):
     best = 0
     for i in range(len(run) - w + 1):
-        part = run[i : i + w]
-        s = sum(S.xlogx(part.count(c)) for c in set(part))
+        s = sum(S.xlogx(n) for n in Counter(run[i : i + w]).values())
         best = max(best, math.floor((S.xlogx(w) - s) / w))
     return best
 
 
+def allowed(run):
+    if any(a.search(run) for a in ALLOWED):
+        return True
+    parts = [p for p in re.split("[-_/=]+", run) if p]
+    return all(p.isalpha() or (p.isdigit() and len(p) <= 8) or (i == 0 and re.fullmatch("[A-Za-z]+[0-9]{1,8}", p)) for i, p in enumerate(parts))
+
+
 def scan(text):
     text = text or ""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    masked = list(text)
+    for a, _, b in base:
+        masked[a:b] = " " * (b - a)
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 16]
     base.sort()
     more = []
-    for m in RUN.finditer(text):
+    for m in RUN.finditer("".join(masked)):
         run = m[0]
-        if len(run) < 20 or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or any(a.search(run) for a in ALLOWED):
+        if len(run) < 20 or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or allowed(run):
             continue
-        if any(b[0] < m.end() and b[2] > m.start() for b in base):
+        if HEX.fullmatch(run) or ACCESS.fullmatch(run):
             continue
         least = next(t for _, p, t in S.CLASSES if re.search(p, run))
         if entropy(run, S.WINDOW) >= least:
