@@ -15,6 +15,8 @@ import datetime as dt
 import hashlib
 import ipaddress
 import re
+import secrets
+from bisect import bisect, insort
 from collections.abc import Callable, Iterator
 from math import isqrt
 
@@ -22,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = b"set a secret key of your own"
+#: The setting with the key of the registered query.
+KEY_SETTING = "spark.millrace.pii.key"
 ROUNDS = 10
 KINDS = ("email", "iban", "card", "ipv4", "date", "ssn", "phone")
 
@@ -95,9 +98,13 @@ _REACH = 80
 class Pseudonyms:
     """Finds and permutes values of all kinds under one key."""
 
-    def __init__(self, key: bytes = KEY) -> None:
+    #: Values and permutations kept at most, so that memory is bounded.
+    MOST_KEPT = 20_000
+
+    def __init__(self, key: bytes) -> None:
         self.key = key
         self.nets: dict[tuple[int, str], Feistel] = {}
+        self.made: dict[tuple[str, str, bool], str | None] = {}
 
     def net(self, n: int, kind: str) -> Feistel:
         f = self.nets.get((n, kind))
@@ -199,6 +206,16 @@ class Pseudonyms:
             return None
         return s[:at] + refill(s[at:], self._digits(d, "phone" + (code[0] if code else ""), undo))
 
+    def of(self, kind: str, s: str, undo: bool = False) -> str | None:
+        """The pseudonym of a value, or None if it isn't valid."""
+        if (kind, s, undo) not in self.made:
+            if len(self.made) >= self.MOST_KEPT:
+                self.made.clear()
+            if len(self.nets) >= self.MOST_KEPT:
+                self.nets.clear()
+            self.made[kind, s, undo] = getattr(self, kind)(s, undo)
+        return self.made[kind, s, undo]
+
     def windows(self, text: str) -> Iterator[tuple[int, int]]:
         """Stretches of a text that can hold a value: around digits and at signs."""
         lo = hi = -1
@@ -223,9 +240,12 @@ class Pseudonyms:
                 if kind == "email" and text.find("@", lo, hi) < 0:
                     continue
                 for m in pattern.finditer(text, lo, hi):
-                    if all(m.end() <= a or m.start() >= b for a, b, _, _ in own) and (to := getattr(self, kind)(m[0], undo)) is not None:
-                        own.append((m.start(), m.end(), kind, to))
-            found += sorted(own)
+                    # those found are sorted and apart, so only the neighbours of a new one can overlap it
+                    at = bisect(own, (m.start(),))
+                    free = (at == 0 or own[at - 1][1] <= m.start()) and (at == len(own) or own[at][0] >= m.end())
+                    if free and (to := self.of(kind, m[0], undo)) is not None:
+                        insort(own, (m.start(), m.end(), kind, to))
+            found += own
         return found
 
     def replace(self, text: str, undo: bool = False) -> tuple[str, list[tuple[int, int, str, str]]]:
@@ -237,12 +257,23 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), found
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key in ``spark.millrace.pii.key``; where it is unset, a random one is put there, which holds as long as the session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()
+
+
+def pseudonymise(df: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """``df`` with the values in ``text`` replaced, and an ``n_<kind>`` long for each kind (existing ones are replaced).
 
     Null text stays null with zero counts; empty and very long texts are
-    handled whole; equal values get equal pseudonyms in every row.  Nothing is
-    shuffled.
+    handled whole, in time that grows with their length; equal values get equal
+    pseudonyms in every row, repeated ones too.  Where kinds meet in a place,
+    the one listed first in ``PATTERNS`` has it.  An empty table gives no rows.
+    Other columns, null or not, stay.  Nothing is shuffled.
     """
     made = [f"n_{k}" for k in KINDS]
     keep = [c for c in df.columns if c not in made and c != text]
@@ -257,8 +288,6 @@ def pseudonymise(df: DataFrame, text: str = "text", key: bytes = KEY) -> DataFra
                 out, found = p.replace(t) if t else (t, [])
                 texts.append(out)
                 counts.append([sum(x[2] == k for x in found) for k in KINDS])
-            if len(p.nets) > 20_000:
-                p.nets.clear()
             cols = list(zip(*counts, strict=True)) if counts else [()] * len(KINDS)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=[*keep, text, *made])
 
@@ -267,7 +296,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: bytes = KEY) -> DataFra
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), session_key(spark))
 
 
 QUERIES = {"op6_pii": op6_pii}

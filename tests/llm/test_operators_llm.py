@@ -120,8 +120,8 @@ def test_pseudonyms():
 
 
 def test_pii_columns(odd):
-    got = pii.pseudonymise(odd).collect()
-    assert len(got) == len(ODD) and pii.pseudonymise(odd.limit(0)).count() == 0
+    got = pii.pseudonymise(odd, b"k").collect()
+    assert len(got) == len(ODD) and pii.pseudonymise(odd.limit(0), b"k").count() == 0
     assert {r.doc_id: r.text for r in got if r.doc_id < 3} == {0: None, 1: "", 2: " "}
 
 
