@@ -20,8 +20,28 @@ LEADING = ("d", "of", "with", "to", "in", "during", "about")
 SLUG_TAIL = ("copy", "the", "a", "an", "on", "of", "at", "during", "between", "near", "by", "in", "with", "his", "hers")
 SLUG_HEAD = ("of", "by", "0", ":", "-", ",")
 VOWELLESS = ("gym", "sky", "why", "mtv", "nyc", "nv", "ny", "lynch")
-BOILERPLATE = ("royalty free", "stock photo", "stock image", "stock illustration", "vector illustration", "photo by")
-GENRES = (("patent", ("claim", "embodiment")), ("legal", ("plaintiff", "defendant")), ("scientific", ("hypothesis", "experiment")), ("medical", ("patient", "clinical")))
+PLACEHOLDER = "You are visiting the placeholder page"
+BLOCKED = (("free", "dating", "sex", "fuck", "cock", "pussy", "xxx"), ("free", "viagra", "cialis"))
+BOILERPLATE = (
+    ("because this is pdf file * PDF *", " ... "), ("no short description", " ... "), ("Field of the Invention", ""), ("The present invention relates to", ""), ("Description of the Prior Art", ""), ("Prior Art", ""),
+)
+GENRES = (
+    ("patent", (" patent ", " invention ", " prior art ")), ("legal", (" court ", " lawyer ", " plaintiff ", " defendant ", " attorney ")), ("scientific", (" genetic ", " gene ", " anatomy ", " cell ")), ("medical", (" clinical ", " diagnosis ", " surgery ")),
+)
+# Each step: its name, its chance, what it asks for, and its ordered replacements.  All of the first list are tried, of the second the first that is drawn.
+SWAPS = (
+    ("men", 1 / 3, ("men ", " Men ", "men's ", " Men's "), (("men ", " women "), (" Men ", " Women "), ("men's ", "women's "), (" Men's ", " Women's "))),
+    ("man", 1 / 3, ("man ", " Man ", "man's ", " Man's "), (("man ", "woman "), (" Man ", " Woman "), ("man's ", "woman's "), (" Man's ", " Woman's "))),
+    ("boys", 1 / 3, (" boys ", " Boys ", " boys' ", " Boy's "), ((" boys ", " girls "), (" Boys ", " Girls "), (" boys' ", " girls' "), (" Boys' ", " Girls' "))),
+    ("boy", 1 / 3, (" boy ", " Boy ", " boy's ", " Boy's "), ((" boy ", " girl "), (" Boy ", " Girl "), (" boy's ", " girl's "), (" Boy's ", " Girl's "))),
+)
+SWAPS_ONE_OF = (
+    ("me", 1 / 3, (" me ", " Me "), ((" me ", " her "), (" myself ", " herself "), (" I ", " she "), (" my ", " her "), (" mine ", " hers "), (" Me ", " Her "), (" My ", " Her "), (" Mine ", " Hers "), (" Myself ", " Herself "))),
+    ("you", 1 / 3, (" you", " You"), ((" you ", " she "), (" your ", " her "), (" yourself ", " herself "), (" yours ", " hers "), (" You ", " She "), (" Your ", " Her "), (" Yours ", " Hers "), (" Yourself ", " Herself "))),
+    ("he", 1 / 3, (" he ", " He "), ((" he ", " she "), (" him ", " her "), (" himself ", " herself "), (" his ", " her "), (" He ", " She "), (" Him ", " Her "), (" His ", " Her "), (" Himself ", " Herself "))),
+    ("she", 1 / 5, (" she ", " She "), ((" she ", " he "), (" her ", " him "), (" hers ", " his "), (" She ", " He "), (" Her ", " Him "), (" Hers ", " His "))),
+)
+SWAP_REPAIRS = (("Huwoman", "Human"), ("huwoman", "human"), ("Gerwoman", "German"), ("gerwoman", "german"), ("wo wom", "wom"))
 
 
 def once(value: Column) -> Column:
@@ -202,8 +222,8 @@ def count_substrings(t: Column, terms: Sequence[str]) -> Column:
 
 
 def genre(t: Column) -> Column:
-    """The first genre one of whose words occurs in the text, else the empty text."""
-    out = None
+    """The first genre one of whose words, between blanks, occurs in the text in any case, else the empty text."""
+    out, t = None, F.lower(t)
     for name, terms in GENRES:
         hit = F.lit(False)
         for w in terms:
@@ -240,3 +260,40 @@ def uniform(key: Column, step: str, seed: int = 0) -> Column:
 def replace_first(t: Column, a: Column, b: Column) -> Column:
     at = F.instr(t, a)
     return F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), b, F.substring(t, at + F.length(a), F.length(t)))).otherwise(t)
+
+
+def any_of(t: Column, words: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(t, F.lit(w))
+    return out
+
+
+def strip_boilerplate(t: Column) -> Column:
+    """Fixed phrases replaced in order; a text that starts with ``stock`` loses the word everywhere, and its edges' white space."""
+    t = replace_pairs(t, BOILERPLATE)
+    return F.when(t.startswith("stock "), F.regexp_replace(F.replace(t, F.lit("stock"), F.lit("")), "^\\s+|\\s+$", "")).otherwise(t)
+
+
+def split_inline_qa(t: Column) -> tuple[Column, Column]:
+    """The text without its inline question, and ``question?||answer``, empty if there is none; the question starts after the last full stop."""
+    at = F.instr(t, F.lit("?||"))
+    parts = F.split(F.left(t, at - 1), "\\.")
+    qa = F.trim(F.concat(F.element_at(parts, -1), F.substring(t, at, F.length(t))))
+    rest = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ".")
+    return F.when(at > 0, rest).otherwise(t), F.when(at > 0, qa).otherwise("")
+
+
+def swap_genders(t: Column, key: Column) -> Column:
+    """The steps of the swap lists that apply and are drawn for the key, then the repairs."""
+    for name, chance, asked, pairs in SWAPS:
+        t = let(t, lambda x: F.when(any_of(x, asked) & (uniform(key, name) < chance), replace_pairs(x, pairs)).otherwise(x))  # noqa: B023
+
+    def one_of(x: Column) -> Column:
+        out = None
+        for name, chance, asked, pairs in SWAPS_ONE_OF:
+            drawn, to = any_of(x, asked) & (uniform(key, name) < chance), replace_pairs(x, pairs)
+            out = F.when(drawn, to) if out is None else out.when(drawn, to)
+        return out.otherwise(x)
+
+    return replace_pairs(let(t, one_of), SWAP_REPAIRS)

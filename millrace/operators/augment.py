@@ -103,9 +103,10 @@ def distinct_by_prefix(entities: Column, n: int = 5) -> Column:
     return F.transform(keys, lambda k: F.element_at(F.filter(entities, lambda e: key(e) == k), -1))
 
 
-def answer_fits(question: Column, answer: Column, text: Column, most: int = 15) -> Column:
-    """Whether an answer is short, not in its question, and stands in the text."""
-    return (F.length(answer) <= most) & ~F.contains(F.lower(question), F.lower(answer)) & F.contains(F.lower(text), F.lower(answer))
+def answer_fits(question: Column, answer: Column, text: Column, chunks: Column, most: int = 15) -> Column:
+    """Whether an answer is short and not in its question, which has noun chunks, and it or one of those is new to the text."""
+    new = F.exists(chunks, lambda c: ~F.contains(text, c))
+    return (F.length(answer) <= most) & (answer != "") & ~F.contains(question, answer) & (F.size(chunks) > 0) & (~F.contains(text, answer) | new)
 
 
 def number_word(n: Column) -> Column:

@@ -17,14 +17,14 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def suppress(df: DataFrame, group: Sequence[str], threshold: float, most: int = 1000) -> DataFrame:
+def suppress(df: DataFrame, group: Sequence[str], threshold: float, most: int | None = None) -> DataFrame:
     """Greedy non-maximum suppression within groups: the rows kept, by falling score (ties: box number).
 
-    Groups are cut to their ``most`` best boxes first, as detectors do; the
-    fold over a group's boxes then costs kept times considered.
+    Where ``most`` is given, groups are cut to their best boxes first, as
+    detectors do; the fold over a group's boxes costs kept times considered.
     """
-    best = top_per_group(df, group, (F.desc("score"), F.asc("box")), most)
-    packed = best.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("rank", "box", *XY, "score"))).alias("all"))
+    best = df if most is None else top_per_group(df, group, (F.desc("score"), F.asc("box")), most)
+    packed = best.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("rank"), "box", *XY, "score"))).alias("all"))
 
     def step(kept: Column, x: Column) -> Column:
         over = F.exists(kept, lambda k: B.iou([k[c] for c in XY], [x[c] for c in XY]) > threshold)

@@ -297,21 +297,16 @@ def _iou_sql(a: str, b: str, p: str = "") -> str:
     return f"({i}) / ({area(a)} + {area(b)} - ({i}))"
 
 
-def _few(spark, sf_dir):
-    return boxes(spark, sf_dir).where("box <= 12")
-
-
-_FEW = f"(SELECT * FROM {BOXES} WHERE box <= 12)"
 _cols = lambda p="": [F.col(f"{p}{c}") for c in _XY]
 
 
 def _paired(spark, sf_dir):
-    b = _few(spark, sf_dir)
+    b = boxes(spark, sf_dir)
     other = b.select("img", F.col("box").alias("box2"), *(F.col(c).alias(f"o_{c}") for c in _XY))
     return b.join(other, "img")
 
 
-@query(f"SELECT a.img, a.box, b.box AS box2, round({_iou_sql('a', 'b', ' + 1')}, 6) AS iou FROM {_FEW} a JOIN {_FEW} b ON a.img = b.img AND a.box < b.box")
+@query(f"SELECT a.img, a.box, b.box AS box2, round({_iou_sql('a', 'b', ' + 1')}, 6) AS iou FROM {BOXES} a JOIN {BOXES} b ON a.img = b.img AND a.box < b.box")
 def iou_pairs(spark, sf_dir):
     return _paired(spark, sf_dir).where("box < box2").select("img", "box", "box2", F.round(B.iou(_cols(), _cols("o_"), 1.0), 6).alias("iou"))
 
@@ -321,13 +316,13 @@ _FOLD = f"list_reduce(list_concat([[]::STRUCT(box BIGINT, x1 DOUBLE, y1 DOUBLE,
 
 @query(f"SELECT img, unnest({_FOLD}).box AS box FROM (SELECT img, list(struct_pack(box := box, x1 := x1, y1 := y1, x2 := x2, y2 := y2) ORDER BY box) AS bs FROM {BOXES} GROUP BY img)")
 def nms(spark, sf_dir):
-    return geometry.suppress(boxes(spark, sf_dir), ["img"], 0.5, 100_000).select("img", "box")
+    return geometry.suppress(boxes(spark, sf_dir), ["img"], 0.5).select("img", "box")
 
 
-@query(f"WITH k AS (SELECT img, lvl, unnest({_FOLD}).box AS box FROM (SELECT img, box % 3 AS lvl, list(struct_pack(box := box, x1 := x1, y1 := y1, x2 := x2, y2 := y2) ORDER BY box) AS bs FROM (SELECT *, row_number() OVER (PARTITION BY img, box % 3 ORDER BY box) AS r FROM {BOXES}) WHERE r <= 20 GROUP BY ALL)) SELECT img, box, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY box) AS rank FROM k) WHERE rank <= 10")
+@query(f"WITH k AS (SELECT img, lvl, unnest({_FOLD}).box AS box FROM (SELECT img, box % 3 AS lvl, list(struct_pack(box := box, x1 := x1, y1 := y1, x2 := x2, y2 := y2) ORDER BY box) AS bs FROM (SELECT *, row_number() OVER (PARTITION BY img, box % 3 ORDER BY box) AS r FROM {BOXES}) WHERE r <= 2 GROUP BY ALL)) SELECT img, box, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY box) AS rank FROM k) WHERE rank <= 3")
 def rpn_topk(spark, sf_dir):
     b = boxes(spark, sf_dir).withColumn("lvl", F.col("box") % 3).withColumn("score", -F.col("box").cast("double"))
-    return geometry.proposals(b, "img", "lvl", 20, 10, 0.5).select("img", "box", "rank")
+    return geometry.proposals(b, "img", "lvl", 2, 3, 0.5).select("img", "box", "rank")
 
 
 @query(f"SELECT img, box, least(greatest(x1, 0), 40) AS x1, least(greatest(y1, 0), 40) AS y1, least(greatest(x2, 0), 40) AS x2, least(greatest(y2, 0), 40) AS y2 FROM {BOXES} WHERE least(x2, 40) - least(x1, 40) > 0 AND least(y2, 40) - least(y1, 40) > 0")
@@ -342,7 +337,7 @@ def box_normalise(spark, sf_dir):
     return boxes(spark, sf_dir).select("img", "box", F.round(n[0], 6).alias("nx1"), F.round(n[3], 6).alias("ny2"), B.area(_cols()).alias("area"), B.xywh_to_xyxy(*_cols())[2].alias("far_x"), B.pyramid_level(_cols()).alias("level"))
 
 
-@query(f"SELECT a.img, a.box, b.box AS box2, round((b.x1 + 0.5 * (b.x2 - b.x1) - a.x1 - 0.5 * (a.x2 - a.x1)) / (a.x2 - a.x1), 5) AS dx, round(ln((b.y2 - b.y1) / (a.y2 - a.y1)), 5) AS dh, round(b.x1, 4) AS back_x1 FROM {_FEW} a JOIN {_FEW} b ON a.img = b.img AND a.box < b.box")
+@query(f"SELECT a.img, a.box, b.box AS box2, round((b.x1 + 0.5 * (b.x2 - b.x1) - a.x1 - 0.5 * (a.x2 - a.x1)) / (a.x2 - a.x1), 5) AS dx, round(ln((b.y2 - b.y1) / (a.y2 - a.y1)), 5) AS dh, round(b.x1, 4) AS back_x1 FROM {BOXES} a JOIN {BOXES} b ON a.img = b.img AND a.box < b.box")
 def box_deltas(spark, sf_dir):
     d = B.encode(_cols(), _cols("o_"))
     return _paired(spark, sf_dir).where("box < box2").select("img", "box", "box2", F.round(d[0], 5).alias("dx"), F.round(d[3], 5).alias("dh"), F.round(B.decode(_cols(), d)[0], 4).alias("back_x1"))
@@ -355,35 +350,35 @@ def anchor_grid(spark, sf_dir):
 
 
 @query(f"""
-    WITH p AS (SELECT a.img, a.box, b.box AS truth, {_iou_sql('a', 'b')} AS iou FROM (SELECT * FROM {_FEW} WHERE box > 4) a JOIN (SELECT * FROM {_FEW} WHERE box <= 4) b ON a.img = b.img),
+    WITH p AS (SELECT a.img, a.box, b.box AS truth, {_iou_sql('a', 'b')} AS iou FROM (SELECT * FROM {BOXES} WHERE box > 2) a JOIN (SELECT * FROM {BOXES} WHERE box <= 2) b ON a.img = b.img),
     t AS (SELECT *, max(iou) OVER (PARTITION BY img, truth) AS top FROM p),
     m AS (SELECT img, box, min(truth) FILTER (WHERE iou = best) AS truth, max(iou) AS iou, bool_or(iou = top AND iou > 0) AS is_top FROM (SELECT *, max(iou) OVER (PARTITION BY img, box) AS best FROM t) GROUP BY img, box)
     SELECT img, box, truth, round(iou, 6) AS iou, CASE WHEN is_top THEN 1 WHEN iou >= 0.5 THEN 1 WHEN iou < 0.3 THEN 0 ELSE -1 END AS label FROM m""")
 def iou_matcher(spark, sf_dir):
-    b = _few(spark, sf_dir)
-    return geometry.match(b.where("box > 4"), b.where("box <= 4"), "img", 0.3, 0.5).withColumn("iou", F.round("iou", 6))
+    b = boxes(spark, sf_dir)
+    return geometry.match(b.where("box > 2"), b.where("box <= 2"), "img", 0.3, 0.5).withColumn("iou", F.round("iou", 6))
 
 
-@query(f"SELECT a.img, a.box, b.box AS box2, a.x1 - b.x1 AS dx, a.y1 - b.y1 AS dy FROM {_FEW} a JOIN {_FEW} b ON a.img = b.img")
+@query(f"SELECT a.img, a.box, b.box AS box2, a.x1 - b.x1 AS dx, a.y1 - b.y1 AS dy FROM {BOXES} a JOIN {BOXES} b ON a.img = b.img")
 def relative_distance(spark, sf_dir):
     return _paired(spark, sf_dir).select("img", "box", "box2", (F.col("x1") - F.col("o_x1")).alias("dx"), (F.col("y1") - F.col("o_y1")).alias("dy"))
 
 
-@query(f"SELECT img, count(*)::INTEGER AS preds, array_to_string(list_concat(list(box ORDER BY box), list_transform(range(12 - count(*)), lambda i: 0))[:12], ',') AS boxes FROM {_FEW} GROUP BY img")
+@query(f"SELECT img, count(*)::INTEGER AS preds, array_to_string(list_concat(list(box ORDER BY box), list_transform(range(12 - count(*)), lambda i: 0))[:12], ',') AS boxes FROM {BOXES} GROUP BY img")
 def pad_detections(spark, sf_dir):
-    g = _few(spark, sf_dir).groupBy("img").agg(F.array_sort(F.collect_list("box")).alias("b"))
+    g = boxes(spark, sf_dir).groupBy("img").agg(F.array_sort(F.collect_list("box")).alias("b"))
     return g.select("img", F.size("b").alias("preds"), F.array_join(geometry.pad(F.col("b"), 12, F.lit(0).cast("bigint")).cast("array<string>"), ",").alias("boxes"))
 
 
 _LABELS = tuple(enumerate(("gray,grey", "Dog ", "oak tree,tree", "boat")))
 
 
-@query(f"SELECT img, box, printf('%s %d%%', trim(lower(string_split(label, ',')[1])), floor(score % 100)::INT) AS txt FROM {_FEW} JOIN (VALUES {values(_LABELS)}) t(id, label) ON id = box % 4")
+@query(f"SELECT img, box, printf('%s %d%%', trim(lower(string_split(label, ',')[1])), floor(score % 100)::INT) AS txt FROM {BOXES} JOIN (VALUES {values(_LABELS)}) t(id, label) ON id = box % 4")
 def label_lookup_text(spark, sf_dir):
     from ..sources.readers import canonical_label
 
     names = local(spark, _LABELS, "id, label").select("id", canonical_label(F.col("label")).alias("label"))
-    return _few(spark, sf_dir).join(names, F.col("id") == F.col("box") % 4).select("img", "box", F.format_string("%s %d%%", "label", F.floor(F.col("score") % 100)).alias("txt"))
+    return boxes(spark, sf_dir).join(names, F.col("id") == F.col("box") % 4).select("img", "box", F.format_string("%s %d%%", "label", F.floor(F.col("score") % 100)).alias("txt"))
 
 
 # ---- questions and answers
@@ -412,11 +407,11 @@ def qa_highlight(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(highlight_each(ss)).alias("i", "t")).select("conv_id", "turn", "role", "i", F.md5("t").alias("input_md5"))
 
 
-_ELEM = f"(SELECT img, ({sql_list(('dog', 'cat', 'boat', 'tree', 'house'))})[box % 5 + 1] AS element, (score % 1000) / 1000 AS score FROM {_FEW})"
+_ELEM = f"(SELECT img, ({sql_list(('dog', 'cat', 'boat', 'tree', 'house'))})[box % 5 + 1] AS element, (score % 1000) / 1000 AS score FROM {BOXES})"
 
 
 def _elements(spark, sf_dir):
-    return _few(spark, sf_dir).select("img", F.get(T.strs("dog", "cat", "boat", "tree", "house"), (F.col("box") % 5).cast("int")).alias("element"), (F.col("score") % 1000 / 1000).alias("score"))
+    return boxes(spark, sf_dir).select("img", F.get(T.strs("dog", "cat", "boat", "tree", "house"), (F.col("box") % 5).cast("int")).alias("element"), (F.col("score") % 1000 / 1000).alias("score"))
 
 
 _WANT = (("dog", ""), ("dog", "cat"), ("boat", "lion"), ("lion", ""))
@@ -447,5 +442,5 @@ def residual_qa(spark, sf_dir):
 def spatial_qa(spark, sf_dir):
     from ..operators.qa import spatial_questions
 
-    b = _few(spark, sf_dir).select("img", "box", *_XY, (F.col("score") % 1000 / 1000).alias("score"), F.get(T.strs(*(w for ws in ONTOLOGY.values() for w in ws)), (F.col("box") % 20).cast("int")).alias("element"))
+    b = boxes(spark, sf_dir).select("img", "box", *_XY, (F.col("score") % 1000 / 1000).alias("score"), F.get(T.strs(*(w for ws in ONTOLOGY.values() for w in ws)), (F.col("box") % 20).cast("int")).alias("element"))
     return spatial_questions(b, "img", 0.21)

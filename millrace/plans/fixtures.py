@@ -83,14 +83,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-#: Boxes from line items: (img, box, x1, y1, x2, y2, score).
-BOXES = "(SELECT l_orderkey % 200 AS img, row_number() OVER (PARTITION BY l_orderkey % 200 ORDER BY l_extendedprice DESC, l_partkey, l_orderkey, l_linenumber) AS box, (l_partkey % 50)::DOUBLE AS x1, (l_suppkey % 50)::DOUBLE AS y1, l_partkey % 50 + 10 + l_quantity AS x2, l_suppkey % 50 + 10 + l_quantity AS y2, l_extendedprice AS score FROM lineitem WHERE l_orderkey % 9 = 0)"
+#: Boxes from line items, an order being an image: (img, box, x1, y1, x2, y2, score).
+BOXES = "(SELECT l_orderkey AS img, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_linenumber) AS box, (l_partkey % 50)::DOUBLE AS x1, (l_suppkey % 50)::DOUBLE AS y1, l_partkey % 50 + 10 + l_quantity AS x2, l_suppkey % 50 + 10 + l_quantity AS y2, l_extendedprice AS score FROM lineitem)"
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    by = Window.partitionBy("img").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_orderkey", "l_linenumber")
+    by = Window.partitionBy("img").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_linenumber")
     x, y = F.col("l_partkey") % 50, F.col("l_suppkey") % 50
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 9 = 0").withColumn("img", F.col("l_orderkey") % 200)
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "img")
     return rows.select("img", F.row_number().over(by).cast("bigint").alias("box"), x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + 10 + F.col("l_quantity")).alias("x2"), (y + 10 + F.col("l_quantity")).alias("y2"), F.col("l_extendedprice").alias("score"))

@@ -222,21 +222,29 @@ def delimited_sink_format(spark, sf_dir):
 
 # ---- document filters
 
-@query(f"SELECT doc_id, pos::INTEGER AS pos, line FROM {LINES} WHERE line <> upper(line) AND NOT contains(line, 'ß')")
+#: Lines, every ninth with the words of the placeholder page.
+_MARKED = f"(SELECT doc_id, pos, CASE WHEN (doc_id + pos) % 9 = 0 THEN line || ' ' || {q(T.PLACEHOLDER)} ELSE line END AS line FROM {LINES})"
+
+
+@query(f"SELECT doc_id, pos::INTEGER AS pos, line FROM {_MARKED} WHERE line <> upper(line) AND NOT contains(line, {q(T.PLACEHOLDER)})")
 def uppercase_reject(spark, sf_dir):
-    return lines(spark, sf_dir).where((F.col("line") != F.upper("line")) & ~F.contains("line", F.lit("ß")))
+    marked = F.when((F.col("doc_id") + F.col("pos")) % 9 == 0, F.concat("line", F.lit(f" {T.PLACEHOLDER}"))).otherwise(F.col("line"))
+    return lines(spark, sf_dir).withColumn("line", marked).where((F.col("line") != F.upper("line")) & ~F.contains("line", F.lit(T.PLACEHOLDER)))
 
 
-BLOCK = ("idiot", "loser", "clown", "casino", "free", "winner", "viagra")
+#: Each document with some blocked words after it, more of them for some.
+_SPAM = ("", " Free FREE free", " dating XXX free xxx", " viagra cialis Free viagra", " xxx")
 
 
 def _count_sql(t: str, terms) -> str:
     return " + ".join(f"(length({t}) - length(replace({t}, {q(w)}, ''))) // {len(w)}" for w in terms)
 
 
-@query(f"SELECT doc_id, ({_count_sql('text', BLOCK)})::INTEGER AS hits FROM documents WHERE {_count_sql('text', BLOCK)} > 3")
+@query(f"SELECT doc_id, a::INTEGER AS first_hits, b::INTEGER AS second_hits, a > 3 OR b > 3 AS rejected FROM (SELECT doc_id, {_count_sql('t', T.BLOCKED[0])} AS a, {_count_sql('t', T.BLOCKED[1])} AS b FROM (SELECT doc_id, lower(text || {sql_list(_SPAM)}[doc_id % 5 + 1]) AS t FROM documents))")
 def blocklist_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.count_substrings(F.col("text"), BLOCK).alias("hits")).where("hits > 3")
+    t = F.lower(F.concat("text", F.get(T.strs(*_SPAM), (F.col("doc_id") % 5).cast("int"))))
+    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", *(T.count_substrings(F.col("t"), ws).alias(f"{n}_hits") for n, ws in zip(("first", "second"), T.BLOCKED, strict=True)))
+    return d.withColumn("rejected", (F.col("first_hits") > 3) | (F.col("second_hits") > 3))
 
 
 _U = "('0x' || left(md5(concat_ws(':', {key}::VARCHAR, '0', '{step}')), 8))::BIGINT / 4294967296.0"
@@ -255,32 +263,40 @@ def stopword_ratio_sample(spark, sf_dir):
     return d.select("doc_id", F.round("sr", 6).alias("stop_ratio"), F.round("kr", 6).alias("short_ratio"))
 
 
+#: What documents start with, for the rules to apply.
+_OPENINGS = ("", "stock photo of stock ", "Field of the Invention. The present invention relates to ", "because this is pdf file * PDF *", "Description of the Prior Art: Prior Art ", "no short description ")
+
+
 def _boiler_sql(t: str) -> str:
-    for p in ("All rights reserved.", "subscribe", "click here", "copyright", "terms of use", "privacy policy"):
-        t = f"replace({t}, {q(p)}, '')"
-    return f"CASE WHEN starts_with({t}, 'stock ') THEN substr({t}, 7) ELSE {t} END"
+    for a, b in T.BOILERPLATE:
+        t = f"replace({t}, {q(a)}, {q(b)})"
+    return t
 
 
-@query(f"SELECT doc_id, md5({_boiler_sql('text')}) AS text_md5, length({_boiler_sql('text')}) AS n FROM documents")
+@query(f"SELECT doc_id, md5(t) AS text_md5, length(t) AS n FROM (SELECT doc_id, CASE WHEN starts_with(t, 'stock ') THEN regexp_replace(replace(t, 'stock', ''), '^\\s+|\\s+$', '', 'g') ELSE t END AS t FROM (SELECT doc_id, {_boiler_sql('t')} AS t FROM (SELECT doc_id, {sql_list(_OPENINGS)}[doc_id % 6 + 1] || text AS t FROM documents)))")
 def boilerplate_strip(spark, sf_dir):
-    t = T.replace_pairs(F.col("text"), [(p, "") for p in ("All rights reserved.", "subscribe", "click here", "copyright", "terms of use", "privacy policy")])
-    t = F.when(t.startswith("stock "), F.substring(t, 7, 1 << 30)).otherwise(t)
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("text_md5"), F.length(t).cast("bigint").alias("n"))
+    t = T.strip_boilerplate(F.concat(F.get(T.strs(*_OPENINGS), (F.col("doc_id") % 6).cast("int")), "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.once(t).alias("t")).select("doc_id", F.md5("t").alias("text_md5"), F.length("t").cast("bigint").alias("n"))
 
 
-_QA = "(SELECT conv_id, turn, text || ' Is it so?||' || role AS l FROM conversations)"
+_QA = "(SELECT conv_id, turn, role, text || CASE WHEN turn % 2 = 0 THEN '. Is it so?||' || role || '?||no' ELSE '' END AS l FROM conversations)"
 
 
-@query(f"SELECT conv_id, turn, string_split(h, '. ')[-1] AS question, a AS answer, md5(array_to_string(string_split(h, '. ')[:-2], '. ')) AS context_md5 FROM (SELECT conv_id, turn, string_split(l, '?||')[1] AS h, string_split(l, '?||')[2] AS a FROM {_QA})")
+@query(f"SELECT conv_id, turn, role, CASE WHEN mark > 0 THEN trim(string_split(left(l, mark - 1), '.')[-1] || substr(l, mark)) ELSE '' END AS qa, md5(CASE WHEN mark > 0 THEN array_to_string(string_split(left(l, mark - 1), '.')[:-2], '.') ELSE l END) AS rest_md5 FROM (SELECT *, strpos(l, '?||') AS mark FROM {_QA})")
 def inline_qa_split(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(F.concat("text", F.lit(" Is it so?||"), "role"), "\\?\\|\\|", 2).alias("x"))
-    c = c.select("conv_id", "turn", F.split(F.get("x", F.lit(0)), "\\. ").alias("h"), F.get("x", F.lit(1)).alias("answer"))
-    return c.select("conv_id", "turn", F.element_at("h", -1).alias("question"), "answer", F.md5(F.array_join(F.slice("h", F.lit(1), F.size("h") - 1), ". ")).alias("context_md5"))
+    l = F.concat("text", F.when(F.col("turn") % 2 == 0, F.concat(F.lit(". Is it so?||"), "role", F.lit("?||no"))).otherwise(""))  # noqa: E741
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.once(l).alias("l"))
+    rest, qa = T.split_inline_qa(F.col("l"))
+    return c.select("conv_id", "turn", "role", qa.alias("qa"), F.md5(rest).alias("rest_md5"))
 
 
-@query("SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(text, {q(w)})" for w in ws) + f" THEN {q(g)}" for g, ws in T.GENRES) + " ELSE '' END AS genre FROM documents")
+#: What texts end with, for the genres to apply.
+_ENDINGS = ("", " the Court of law", " a PATENT here", " one cell there", " Clinical trials", " courts and patents")
+
+
+@query("SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, {q(w)})" for w in ws) + f" THEN {q(g)}" for g, ws in T.GENRES) + f" ELSE '' END AS genre FROM (SELECT doc_id, lower(text || {sql_list(_ENDINGS)}[doc_id % 6 + 1]) AS t FROM documents)")
 def genre_classify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.genre(F.col("text")).alias("genre"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.genre(F.concat("text", F.get(T.strs(*_ENDINGS), (F.col("doc_id") % 6).cast("int")))).alias("genre"))
 
 
 _SENT = "replace(replace(replace(replace({t}, '? ', '. '), '! ', '. '), '- ', '. '), '; ', '. ')"
@@ -297,27 +313,41 @@ def neighbour_context(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.lag("text").over(w), F.lit("")).alias("prev_text"), F.coalesce(F.lead("text").over(w), F.lit("")).alias("next_text"))
 
 
-SWAPS = ((" he ", " she "), (" his ", " her "), (" him ", " her "), ("man ", "woman "), ("men ", "women "), ("Huwoman", "Human"), ("Gerwoman", "German"), ("wowoman", "woman"))
+_PEOPLE = ("", " the men and a man and some German women met me and my friend today", " you and Your boys ' team", " he said his boy saw him here", " she gave her a Boy 's hat", " a Human woman , the boy and Men there")
+_KEY = "(conv_id || '-' || turn || '-' || role)"
+
 
+def _any_sql(words) -> str:
+    return "(" + " OR ".join(f"contains(t, {q(w)})" for w in words) + ")"
 
-def _swap_sql(t: str) -> str:
-    for a, b in SWAPS:
+
+def _pairs_sql(t: str, pairs) -> str:
+    for a, b in pairs:
         t = f"replace({t}, {q(a)}, {q(b)})"
     return t
 
 
-@query(f"SELECT conv_id, turn, role, md5(CASE WHEN {_U.format(key='conv_id', step='swap')} < 1 / 3.0 THEN {_swap_sql('text')} ELSE text END) AS text_md5 FROM conversations")
+def _swap_sql() -> str:
+    drawn = lambda name, chance: f"{_U.format(key='k', step=name)} < {chance!r}"
+    rows = f"SELECT conv_id, turn, role, {_KEY} AS k, text || {sql_list(_PEOPLE)}[turn % 6 + 1] || ' .' AS t FROM conversations"
+    for name, chance, asked, pairs in T.SWAPS:
+        rows = f"SELECT conv_id, turn, role, k, CASE WHEN {_any_sql(asked)} AND {drawn(name, chance)} THEN {_pairs_sql('t', pairs)} ELSE t END AS t FROM ({rows})"
+    ladder = " ".join(f"WHEN {_any_sql(asked)} AND {drawn(name, chance)} THEN {_pairs_sql('t', pairs)}" for name, chance, asked, pairs in T.SWAPS_ONE_OF)
+    return f"SELECT conv_id, turn, role, md5({_pairs_sql('t', T.SWAP_REPAIRS)}) AS text_md5 FROM (SELECT conv_id, turn, role, CASE {ladder} ELSE t END AS t FROM ({rows}))"
+
+
+@query(_swap_sql())
 def gender_swap(spark, sf_dir):
-    swapped = F.when(T.uniform(F.col("conv_id"), "swap") < 1 / 3.0, T.replace_pairs(F.col("text"), SWAPS)).otherwise(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.md5(swapped).alias("text_md5"))
+    t = F.concat("text", F.get(T.strs(*_PEOPLE), (F.col("turn") % 6).cast("int")), F.lit(" ."))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.md5(T.swap_genders(t, F.concat_ws("-", "conv_id", "turn", "role"))).alias("text_md5"))
 
 
-@query(f"SELECT doc_id, array_to_string(w[coalesce(list_position(list_transform(w, lambda x: list_contains({sql_list(STOPWORDS)}, lower(x))), false), len(w) + 1):][:5], ' ') AS head FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)")
+@query(f"SELECT doc_id, array_to_string(w[coalesce(list_position(list_transform(w, lambda x: list_contains({sql_list(STOPWORDS)}, lower(x))), false), len(w) + 1):], ' ') AS rest FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents)")
 def strip_left_stopwords(spark, sf_dir):
     w = T.words(F.col("text"))
     low = F.array_position(F.transform("w", lambda x: F.when(F.lower(x).isin(*STOPWORDS), 1).otherwise(0)), F.lit(0)).cast("int")
     d = table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).withColumn("i", low)
-    return d.select("doc_id", F.when(F.col("i") > 0, F.array_join(F.slice("w", F.greatest("i", F.lit(1)), F.lit(5)), " ")).otherwise("").alias("head"))
+    return d.select("doc_id", F.when(F.col("i") > 0, F.array_join(F.slice("w", F.greatest("i", F.lit(1)), F.size("w")), " ")).otherwise("").alias("rest"))
 
 
 AUGMENTED = (("big brown dog", "dog"), ("brown dog", "dog"), ("old oak tree", "oak tree"), ("red bicycle", "bicycle"), ("a big", "a"))

@@ -33,7 +33,10 @@ def test_pieces(spark):
     assert value(spark, A.prompt_prefix(F.lit("medical"), F.lit("photo"), F.lit(""))) == "A medical photo of"
     assert value(spark, A.longest_prefix(strs("a", "a photo", "zzz"), strs("a photo of it"))) == "a photo"
     assert value(spark, A.number_word(F.lit("2"))) == "two" and value(spark, A.number_word(F.lit("9"))) == "9"
-    assert value(spark, A.answer_fits(F.lit("What is it?"), F.lit("cat"), F.lit("a Cat"))) is True
+    fits = lambda answer, text, *chunks: value(spark, A.answer_fits(F.lit("What does a cat eat?"), F.lit(answer), F.lit(text), F.array(*map(F.lit, chunks)).cast("array<string>")))
+    assert fits("fish", "a cat sits", "a cat") is True and fits("fish", "a cat has fish", "a cat") is False
+    assert fits("fish", "a cat has fish", "a cat", "a dog") is True and fits("fish", "a cat sits") is False
+    assert fits("a cat", "it sits", "a dog") is False and fits("fish of the deep sea", "it", "a dog") is False and fits("", "it", "a dog") is False
     assert value(spark, A.repair_generated(F.lit("a lion in a tuxedo"), F.lit("a lion"), [("lion", "cat", "lion"), ("tuxedo", "suit", "tuxedo")])) == "a lion in a suit"
     assert value(spark, A.chance_swaps(F.lit(" he "), F.lit(1), [(1.0, [(" he ", " she ")])], [("she", "They")])) == " They "
     assert value(spark, A.implied_entities(strs("Cat", "the", "owl"), F.lit("a cat"), strs("the"))) == ["owl"]
