@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..models.tokenizer import BytePairs
 from ..operators import rewrite
+from ..operators.components import shared_folder
 from ..operators.sampling import reaugment
 from ..streaming import ingest
 from .fixtures import CAPTIONS, STOPWORDS, captions, ontology_rows, table
@@ -78,8 +79,7 @@ def reaugment_round_trip(spark, sf_dir):
 @query("SELECT min(url) AS url, md5(html) AS md5 FROM pages WHERE page_id % 7 <> 0 GROUP BY md5(html)")
 def stream_ingest(spark, sf_dir):
     """Pages written as sidecar files, streamed in several batches, joined, deduplicated and numbered."""
-    to = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
-    base = f"{to.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     p = table(spark, sf_dir, "pages")
     side = p.select(F.when(F.col("page_id") % 7 == 0, "failed").otherwise("success").alias("status"), "url", F.md5("html").alias("md5"))
     side.repartition(4, "url").write.json(f"{base}/in")
