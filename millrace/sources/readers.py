@@ -85,3 +85,20 @@ def cache_name(u: Column, etag: Column | None = None) -> Column:
 
 def hub_url(base: str, model: Column, file: str) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/"), F.when(F.contains(model, F.lit("/")), F.concat(model, F.lit(f"/{file}"))).otherwise(F.concat(model, F.lit(f"-{file}"))))
+
+
+def merge_lines(t: Column) -> Column:
+    """Merges of a file's text, by rank: its lines but the first, a heading, and the last, which is blank."""
+    ls = F.split(t, "\n")
+    return F.slice(ls, F.lit(2), F.greatest(F.size(ls) - 2, F.lit(0)))
+
+
+def read_merges(spark: SparkSession, path: str) -> DataFrame:
+    """(rank, merge) of a merges file, a bounded side file read whole."""
+    return spark.read.text(path, wholetext=True).select(F.posexplode(merge_lines(F.col("value"))).alias("rank", "merge"))
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(token, id) of a JSON object of ids by token."""
+    ids = F.from_json("value", "map<string,int>")
+    return spark.read.text(path, wholetext=True).select(F.explode(ids).alias("token", "id"))

@@ -2,10 +2,10 @@ import pytest
 from oracle import SF, check
 
 import __spark_entry__ as entry
-from millrace.plans import data_queries, flow_queries, text_queries
+from millrace.plans import data_queries, flow_queries, record_queries, text_queries
 
-QUERIES = {k: q for p in (text_queries, data_queries, flow_queries) for k, q in p.QUERIES.items()}
-ORACLES = {k: s for p in (text_queries, data_queries, flow_queries) for k, s in p.ORACLES.items()}
+QUERIES = {k: q for p in (text_queries, data_queries, flow_queries, record_queries) for k, q in p.QUERIES.items()}
+ORACLES = {k: s for p in (text_queries, data_queries, flow_queries, record_queries) for k, s in p.ORACLES.items()}
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
