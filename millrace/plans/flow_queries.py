@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..models.tokenizer import BytePairs
-from ..operators import rewrite
+from ..operators import genericise, rewrite
 from ..operators.components import shared_folder
 from ..operators.sampling import reaugment
 from ..streaming import ingest
@@ -38,11 +38,14 @@ def ontology_parse(spark, sf_dir):
 
 @query()
 def caption_genericise(spark, sf_dir):
-    """Captions that equal their slug are made generic, others stay."""
-    from ..functions import text as T
-
-    c = captions(spark, sf_dir).select("idx", F.lower("txt").alias("txt"), F.lower(F.array_join(T.words(T.slug(F.col("url"))), " ")).alias("slug"))
-    return c.select("idx", F.when(F.contains("txt", "slug") | (F.col("idx") % 2 == 0), rewriter().column(F.col("txt"))).otherwise(F.col("txt")).alias("txt"))
+    """Captions that say no more than their slug behind the opening words have a generic form beside them, others keep the slug."""
+    name = F.lower(F.replace(F.substring_index(F.substring_index("url", "/", -1), ".", 1), F.lit("-"), F.lit(" ")))
+    slug = F.regexp_replace(name, "( stock| 12345|_the|\\+of)$", "")
+    c = captions(spark, sf_dir).select("idx", F.rtrim(F.lower("txt")).alias("txt"), slug.alias("slug"))
+    c = c.withColumn("txt", F.when(F.endswith("txt", "slug"), F.col("slug")).otherwise(F.col("txt")))
+    words = {w: k for k, w, _ in ontology_rows()}
+    rules = genericise.Genericiser(words | {k: k for k in words.values()}, frozenset({"house"}), frozenset(STOPWORDS))
+    return genericise.generic_pairs(c, rules, "txt", "slug")
 
 
 @query()

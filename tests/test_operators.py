@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from millrace.functions import boxes as B
 from millrace.models.boundary import apply_model, hashed_embedder, task
 from millrace.models.tokenizer import WORD_START, BytePairs, causal_mask, sentinel_id, shift_right
-from millrace.operators import components, corpus, geometry, grouping, qa, rewrite, sampling, similarity
+from millrace.operators import components, corpus, genericise, geometry, grouping, qa, rewrite, sampling, similarity
 from millrace.plans.fixtures import boxes
 from millrace.plans.flow_queries import TOY_MERGES, TOY_VOCAB, rewriter
 from millrace.sources import readers, sinks
@@ -89,11 +89,38 @@ def test_label_repair():
     assert r("one", "two") == ("one", "two")
 
 
+GENERIC = {
+    "a big dog near the river": "a dog near the place",
+    "actor and singer in the boat": "people in the vehicle",
+    "my actor on a boat": "my actor on a vehicle",
+    "a pizza and a bread": "the food",
+    "the most beautiful boat": "the most beautiful vehicle",
+    "a small dog, a cat and a horse": "the animals",
+    "wonderful light in the river": "light in the place",
+    "my boat": "the vehicle",
+    "a boat near a boat": "a vehicle near another vehicle",
+    "in a boat called car": "in a car",
+    "boat 1,000 tall": "vehicle 1 ,000 tall",
+    "house 2,000 tall": "house 2,000 tall",
+}
+
+
+def test_genericiser(spark):
+    words = {"dog": "animal", "cat": "animal", "horse": "animal", "pizza": "food", "bread": "food", "actor": "person", "singer": "person", "boat": "vehicle", "car": "vehicle", "house": "building", "river": "place"}
+    rules = genericise.Genericiser(words | {c: c for c in words.values()}, frozenset({"house"}), frozenset(("the", "a", "and", "near", "in", "with")))
+    assert {t: rules(t) for t in GENERIC} == GENERIC
+    df = spark.createDataFrame([("my boat", "my boat"), ("my boat", "boat"), (None, "boat"), ("", ""), ("light.", "light.")], "txt string, slug string")
+    assert [tuple(r) for r in genericise.generic_pairs(df, rules, "txt", "slug").collect()] == [("my boat", "the vehicle"), ("my boat", "boat"), (None, "boat"), ("", ""), ("light.", "light.")]
+
+
 def test_chunks():
     text = "word " * 400
-    out = rewrite.chunk_text(text)
+    out = rewrite.chunk_text(text, most=14)
     assert out and all(len(c) <= 320 for c in out) and len(out) <= 14
     assert rewrite.chunk_text("short") == []
+    long = "A sentence of some words that goes on. " * 500
+    assert len(rewrite.chunk_text(long)) > 50 and "".join(rewrite.chunk_text(long)).count("sentence") == 500
+    assert rewrite.chunk_text("x" * 20 + "....." + "y" * 20, words=2, least=3) == ["x" * 20 + "." + "y" * 20]
 
 
 def test_tokens(spark):
