@@ -120,7 +120,7 @@ def test_chunks():
     assert rewrite.chunk_text("short") == []
     long = "A sentence of some words that goes on. " * 500
     assert len(rewrite.chunk_text(long)) > 50 and "".join(rewrite.chunk_text(long)).count("sentence") == 500
-    assert rewrite.chunk_text("x" * 20 + "....." + "y" * 20, words=2, least=3) == ["x" * 20 + "." + "y" * 20]
+    assert rewrite.chunk_text("x" * 20 + "....." + "y" * 20) == ["x" * 20 + "." + "y" * 20]
 
 
 def test_tokens(spark):
