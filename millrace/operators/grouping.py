@@ -29,3 +29,10 @@ def collapse_runs(df: DataFrame, group: Sequence[str], order: str, key: str) ->
 def group_texts(df: DataFrame, key: Column, text: Column, order: Column, first: Sequence[str] = ()) -> DataFrame:
     """Per key the sorted distinct texts, and of the columns in ``first`` the value of the first row."""
     return df.groupBy(key.alias("key")).agg(F.array_sort(F.collect_set(text)).alias("texts"), *(F.min_by(c, order).alias(c) for c in first))
+
+
+def union_in_order(df: DataFrame, key: str, value: str, order: Sequence[str], name: str = "values") -> DataFrame:
+    """Per key the distinct values in the order of their first row; repeats go before the shuffle, nulls are left out."""
+    firsts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(F.struct(*order)).alias("__at"))
+    lists = firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__at", value))).alias("__all"))
+    return lists.select(key, F.transform("__all", lambda x: x[value]).alias(name))

@@ -181,10 +181,10 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("SELECT event_id, round(sum(value) OVER w, 2) AS sum100, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+@query("SELECT event_id, round(sum(value) OVER w, 2) AS sum100, round(avg(value) OVER w, 9) AS mean100, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 def running_mean_100(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-99, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.sum("value").over(w), 2).alias("sum100"), F.count(F.lit(1)).over(w).alias("n"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(F.sum("value").over(w), 2).alias("sum100"), F.round(F.avg("value").over(w), 9).alias("mean100"), F.count(F.lit(1)).over(w).alias("n"))
 
 
 @query(f"SELECT s AS draw, line_no, line FROM (SELECT s, floor({_U.format(key='s', step='line')} * (SELECT count(*) FROM {LINES}))::BIGINT AS line_no FROM range(200) t(s)) JOIN (SELECT line_no, line FROM {_NUMBERED}) USING (line_no)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import corpus, records, tensors
+from ..operators import corpus, grouping, records, tensors
 from .fixtures import BOXES, CAPTIONS, LINES, STOPWORDS, boxes, captions, lines, local, ontology_rows, sql_list, table, values
 from .text_queries import _U
 
@@ -197,6 +197,16 @@ def flush_batches(spark, sf_dir):
     return rows.groupBy("b.kind", "b.batch").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("chars"))
 
 
+_TITLE = "left(regexp_extract(html, '<title>(.*?)</title>', 1), 3)"
+
+
+@query(f"SELECT host, array_to_string(list(w ORDER BY first_page), ';') AS words FROM (SELECT string_split(url, '/')[3] AS host, {_TITLE} AS w, min(page_id) AS first_page FROM pages GROUP BY ALL) GROUP BY host")
+def group_union_in_order(spark, sf_dir):
+    """Beginnings of titles of each host, as they first appear."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.get(F.split("url", "/"), F.lit(2)).alias("host"), F.left(F.regexp_extract("html", "<title>(.*?)</title>", 1), F.lit(3)).alias("w"))
+    return grouping.union_in_order(p, "host", "w", ["page_id"]).select("host", F.array_join("values", ";").alias("words"))
+
+
 # ---- boxes
 
 _AREA = "(x2 - x1) * (y2 - y1)"

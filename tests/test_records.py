@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import records, tensors
+from millrace.models.settings import Settings
+from millrace.operators import grouping, records, tensors
 from millrace.sources import readers
 
 
@@ -59,3 +60,21 @@ def test_tokenizer_files(spark, tmp_path):
     assert [tuple(r) for r in readers.read_merges(spark, str(tmp_path / "merges.txt")).collect()] == [(0, "a b"), (1, "ab c")]
     assert {tuple(r) for r in readers.read_vocabulary(spark, str(tmp_path / "vocab.json")).collect()} == {("a", 0), ('b"', 7)}
     assert readers.merge_lines is not None and one(spark, readers.merge_lines(F.lit("x")))[0] == []
+
+
+def test_union_in_order(spark):
+    df = spark.createDataFrame([(1, 3, "b"), (1, 1, "c"), (1, 2, "b"), (1, 4, "a"), (1, 5, None), (2, 1, "z")], "k int, o int, v string")
+    assert sorted(tuple(r) for r in grouping.union_in_order(df, "k", "v", ["o"]).collect()) == [(1, ["c", "b", "a"]), (2, ["z"])]
+    assert grouping.union_in_order(df.limit(0), "k", "v", ["o"]).count() == 0
+
+
+def test_settings(tmp_path):
+    s = Settings({"model": {"heads": 8}, "a.b.c": 1})
+    s["model.depth"] = 2
+    assert s["model.heads"] == s["MODEL.HEADS"] == 8 and s["a"]["b.c"] == 1
+    s.dump(tmp_path / "s.json")
+    assert Settings.load(tmp_path / "s.json").to_dict() == {"model": {"heads": 8, "depth": 2}, "a": {"b": {"c": 1}}}
+    with pytest.raises(KeyError):
+        s["model.heads.x"] = 1
+    with pytest.raises(KeyError):
+        s["model.heads.x"]
