@@ -87,6 +87,17 @@ def test_label_repair():
     assert r("biological species sitting on a branch", "spotted frog sitting on a branch")[0].startswith("spotted animal")
     assert r("a dish of biological genus in a bowl", "a bowl of it")[0] == "food in a bowl"
     assert r("one", "two") == ("one", "two")
+    lead = lambda a, b: r(a, b)[0]
+    assert lead("biological genus leaves the pot", "photo of pot") == "a person leaves the pot"
+    assert lead("biological genus leaves in pot", "photo of pot") == "a plant's leaves in pot"
+    assert lead("biological genus leaves his hand", "photo of hand") == "an animal leaves his hand"
+    assert lead("biological species near water", "two rare boats") == "two animals near water"
+    assert lead("biological species near water", "boys in hats") == "a person near water"
+    assert lead("a lone biological species is the king", "x y") == "the king"
+    assert lead("biological species and bacon", "x y") == "bacon"
+    assert r("biological species near water", "biological species near water") == ("an animal near water",) * 2
+    assert r("a hat", "biological kingdom near water")[0] == "an animal near water"
+    assert r("biological", "") == ("an animal", "")
 
 
 GENERIC = {
