@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STEP = 4096
@@ -63,6 +63,12 @@ def _times(term: str) -> Column:
     return F.size(F.filter("w", lambda x: x == F.lit(term)))
 
 
+def gain(tf: Column, length: Column, df: int, n: int, avg: float, k1: float = 1.2, b: float = 0.75) -> Column:
+    """What a term that ``df`` of ``n`` texts have adds to a text's BM25 score."""
+    idf = F.log(F.lit(1 + (n - df + 0.5) / (df + 0.5)))
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.lit(avg)))
+
+
 def bm25(docs: DataFrame, key: str, text: str, wanted: Sequence[str], top: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The ``top`` rows that hold all wanted terms, by BM25 score (ties: key). A top-k report."""
     d = docs.select(key, terms(F.col(text)).alias("w")).select(key, F.size("w").alias("len"), *(_times(t).alias(f"tf{i}") for i, t in enumerate(wanted)))
@@ -70,8 +76,29 @@ def bm25(docs: DataFrame, key: str, text: str, wanted: Sequence[str], top: int,
     score = F.lit(0.0)
     hit = F.lit(True)
     for i in range(len(wanted)):
-        tf, df = F.col(f"tf{i}"), stats[f"df{i}"]
-        idf = F.log(F.lit(1 + (stats["n"] - df + 0.5) / (df + 0.5)))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.lit(stats["avg"])))
+        tf = F.col(f"tf{i}")
+        score = score + gain(tf, F.col("len"), stats[f"df{i}"], stats["n"], stats["avg"], k1, b)
         hit = hit & (tf > 0)
     return d.where(hit).select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(top)
+
+
+def write_terms(docs: DataFrame, key: str, text: str, path: str, partitions: int) -> None:
+    """A search index: terms ranged and sorted, so that a search prunes by the files' statistics, and the counts it needs."""
+    found = inverted_index(docs, key, text)
+    found.withColumnRenamed(key, "key").repartitionByRange(partitions, "term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    docs.select(F.size(terms(F.col(text))).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).write.parquet(f"{path}/counts")
+
+
+def search_terms(spark: SparkSession, path: str, wanted: Sequence[str], top: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) as ``bm25`` gives them, from the stored index: only the wanted terms' rows are read."""
+    asked = sorted(set(wanted))
+    rows = spark.read.parquet(f"{path}/terms").where(F.col("term").isin(asked))
+    counts = spark.read.parquet(f"{path}/counts").first()
+    df = {r["term"]: r["count"] for r in rows.groupBy("term").count().collect()}
+    if len(df) < len(asked):
+        return rows.where(F.lit(False)).select("key", F.lit(0.0).alias("score"))
+    score = F.lit(0.0)
+    for t in wanted:
+        score = score + F.max(F.when(F.col("term") == t, gain(F.col("tf"), F.col("len"), df[t], counts["n"], counts["avg"], k1, b)))
+    hits = rows.groupBy("key").agg(F.count(F.lit(1)).alias("__hits"), score.alias("score")).where(F.col("__hits") == len(asked))
+    return hits.select("key", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "key").limit(top)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -148,7 +150,10 @@ _NUMBERED = f"(SELECT doc_id, pos, line, row_number() OVER (ORDER BY doc_id, pos
 
 @query(f"SELECT pos, line_no, line FROM (SELECT unnest([500, 3, 500, 77, 9]) AS line_no, unnest(range(5))::INTEGER AS pos) k JOIN (SELECT line_no, line FROM {_NUMBERED}) USING (line_no) UNION ALL SELECT -1, line_no, line FROM {_NUMBERED} WHERE line_no >= 100 AND line_no < 110")
 def line_lookup(spark, sf_dir):
-    n = corpus.number_lines(lines(spark, sf_dir)).select("line_no", "line")
+    return _looked_up(corpus.number_lines(lines(spark, sf_dir)).select("line_no", "line"))
+
+
+def _looked_up(n):
     return corpus.lookup_list(n, [500, 3, 500, 77, 9]).unionByName(corpus.lookup_range(n, 100, 110).select(F.lit(-1).alias("pos"), "line_no", "line"))
 
 
@@ -169,6 +174,22 @@ def bm25_search(spark, sf_dir):
     return corpus.bm25(corpus.number_lines(lines(spark, sf_dir)), "line_no", "line", ["that", "was"], 25)
 
 
+@query(ORACLES["bm25_search"])
+def index_search(spark, sf_dir):
+    """The same search in a stored index of terms, of which only the wanted ones are read."""
+    path = f"{C.shared_folder(spark)}/terms-{uuid.uuid4().hex}"
+    corpus.write_terms(corpus.number_lines(lines(spark, sf_dir)), "line_no", "line", path, 8)
+    return corpus.search_terms(spark, path, ["that", "was"], 25).withColumnRenamed("key", "line_no")
+
+
+@query(ORACLES["line_lookup"])
+def index_lookup(spark, sf_dir):
+    """The same lookup in stored lines, pruned by their numbers."""
+    path = f"{C.shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    corpus.write_index(corpus.number_lines(lines(spark, sf_dir)).select("line_no", "line"), path, 8)
+    return _looked_up(spark.read.parquet(path))
+
+
 @query("SELECT lower(regexp_extract(url, '^(https?)', 1)) IN ('http', 'https') AS remote, sha256(url) || '.' || sha256(page_id::VARCHAR) AS name, page_id FROM pages")
 def cached_filename(spark, sf_dir):
     from ..sources.readers import cache_name, is_remote
