@@ -13,15 +13,17 @@ STEP = 4096
 def number_lines(df: DataFrame, doc: str = "doc_id", pos: str = "pos", step: int = STEP) -> DataFrame:
     """``df`` with ``line_no`` from 0 in order of document and position.
 
-    Counts per document add up within blocks of ``step`` ids, and those of the
-    blocks over the (small) list of blocks: no task orders all lines.
+    Counts per document add up within blocks of ``step`` ids, those of the
+    blocks within as many blocks, and those of these over their list, a
+    ``step`` * ``step``-th of the range of ids: no task orders all lines, nor all blocks.
     """
-    block = F.floor(F.col(doc) / step)
-    sizes = df.groupBy(doc).agg((F.max(pos) + 1).alias("__n")).withColumn("__b", block)
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = sizes.groupBy("__b").agg(F.sum("__n").alias("__bn")).withColumn("__at", F.coalesce(F.sum("__bn").over(before), F.lit(0))).drop("__bn")
-    inside = Window.partitionBy("__b").orderBy(doc).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(blocks, "__b").select(doc, (F.col("__at") + F.col("__in")).alias("__start"))
+    sizes = df.groupBy(doc).agg((F.max(pos) + 1).alias("__n")).withColumn("__b", F.floor(F.col(doc) / step)).withColumn("__t", F.floor(F.col("__b") / step))
+    blocks = sizes.groupBy("__t", "__b").agg(F.sum("__n").alias("__bn"))
+    tops = blocks.groupBy("__t").agg(F.sum("__bn").alias("__tn"))
+    before = lambda n, by, *within: F.coalesce(F.sum(n).over(Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = tops.select("__t", before("__tn", "__t").alias("__top_at"))
+    at = blocks.select("__t", "__b", before("__bn", "__b", "__t").alias("__block_at")).join(at, "__t").select("__b", (F.col("__block_at") + F.col("__top_at")).alias("__at"))
+    starts = sizes.select(doc, "__b", before("__n", doc, "__b").alias("__in")).join(at, "__b").select(doc, (F.col("__at") + F.col("__in")).alias("__start"))
     return df.join(starts, doc).withColumn("line_no", F.col("__start") + F.col(pos)).drop("__start")
 
 

@@ -77,3 +77,12 @@ def test_group_texts_and_prompts(spark):
     assert (r.texts, r.u) == (["x", "y"], "first")
     p = spark.range(1).select(qa.prepend_input(F.lit("A"), F.lit("C")).alias("a"), qa.qa_prompt(F.lit("Q"), F.lit("C")).alias("b"), qa.e2e_prompt(F.lit("C")).alias("c"), qa.split_answers(F.lit("<pad> x<sep> <sep>y <sep> z")).alias("d")).first()
     assert tuple(p) == ("answer: A context: C", "question: Q  context: C", "generate questions: C", ["x", "y"])
+
+
+def test_line_numbers_over_several_levels(spark):
+    sizes = {d: d % 3 + 1 for d in range(-5, 60, 2)}
+    d = spark.createDataFrame([(doc, p) for doc, n in sizes.items() for p in range(n)], "doc_id long, pos int")
+    want = {(doc, p): i for i, (doc, p) in enumerate((doc, p) for doc in sorted(sizes) for p in range(sizes[doc]))}
+    for step in (2, 3, 4096):
+        assert {(r.doc_id, r.pos): r.line_no for r in corpus.number_lines(d, step=step).collect()} == want
+    assert corpus.number_lines(d.limit(0)).count() == 0
