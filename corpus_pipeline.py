@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 as Parquet and read again as the next stage's documents.  All stages but the
-last return the columns of ``documents``.
+last return the columns of ``documents``.  What ``mix`` decides is the order of
+its rows; the files keep it, and what follows takes it from there.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,17 +42,36 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, sorted by their slots in the mixing schedule."""
+    """All documents, sorted by their slots in the mixing schedule; ``shard`` keeps this order."""
     return mixing.in_schedule_order(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its shard, sorted by shard and in it by the mixing schedule, which the reread of ``mix`` has lost."""
-    return _in_shards(sharding.assign_shards(docs))
+    """Each document with its shard, sorted by shard and in it by the order in which ``mix`` has written them."""
+    file, row = _ORDER
+    placed = sharding.assign_shards(_numbered(docs))
+    return placed.orderBy("shard", *_ORDER).drop(file, row)
 
 
-def _in_shards(docs: DataFrame) -> DataFrame:
-    return mixing.in_schedule_order(docs, within=("shard",))
+#: Names of the columns that hold a row's place while it is sorted.
+_ORDER = ("__written_file", "__written_row")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row's place: file and row of a stored table, which a reread that deals files by size can't lose, else the place as it comes.
+
+    Spark names files by partition, ``part-`` and a number of five digits or more.
+    """
+    file, row = _ORDER
+    try:
+        about = docs.metadataColumn("_metadata")
+        name = about.getField("file_name")
+        number = F.coalesce(F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("bigint"), F.lit(-1).cast("bigint"))
+        place = docs.select("*", F.struct(number.alias("number"), name.alias("name")).alias(file), about.getField("row_index").alias(row))
+        place.schema  # noqa: B018  (raises where the rows aren't those of files)
+    except AnalysisException:
+        place = docs.select("*", F.lit(0).alias(file), F.monotonically_increasing_id().alias(row))
+    return place
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -72,11 +93,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages' outcome for the documents of ``sf_dir``, by way of the shared folder; each shard's rows come in mixed order."""
+    """The stages' outcome for the documents of ``sf_dir``, by way of the shared folder; each shard's rows come in the order of ``mix``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     to = f"{near_join.shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{to}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return _in_shards(docs)
+    file, row = _ORDER
+    return _numbered(docs).orderBy("shard", file, row).drop(file, row)

@@ -1,5 +1,6 @@
 from brute_near import near
 from oracle import SF
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from millrace.llm import decontaminate, mixing, quality, sharding
@@ -48,3 +49,22 @@ def test_shards_are_in_mixed_order(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(rows) > 100 and rows == sorted(rows)
+
+
+def test_mix_decides_the_order_in_shards(spark, tmp_path, monkeypatch):
+    other = lambda spark, docs, sf_dir: docs.orderBy(F.col("doc_id").desc())
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', repeat('x', cast(id % 50 AS int))) AS text", "'en' AS lang", "concat('s', id % 3) AS source", "id AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(pipeline, "STAGES", [("mixing_sources", other), ("sharding", pipeline.shard)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(r.shard, r.doc_id) for r in pipeline.run(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 2000 and rows == sorted(rows, key=lambda x: (x[0], -x[1]))
+
+
+def test_order_of_rows_that_are_no_files(spark):
+    docs = spark.range(500).selectExpr("499 - id AS doc_id", "'a' AS text", "'en' AS lang", "'s' AS source", "id AS n_chars")
+    rows = [(r.shard, r.doc_id) for r in pipeline.shard(spark, docs, SF).collect()]
+    assert len(rows) == 500 and rows == sorted(rows, key=lambda x: (x[0], -x[1]))
