@@ -36,17 +36,23 @@ def deduplicated(stream: DataFrame, within: str | None = None, time: str = "ts")
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(["md5"])
 
 
-def first_success(batch: DataFrame, seen: DataFrame | None) -> DataFrame:
-    """A batch's rows whose URL and hash weren't seen: one per hash and one per URL, the least first."""
+def first_success(batch: DataFrame, seen: DataFrame | None, pairs: bool = False) -> DataFrame:
+    """A batch's rows whose URL and hash weren't seen: one per hash and one per URL, the least first.
+
+    With ``pairs``, one per URL and hash together: a hash comes again under another URL, a URL with another hash.
+    """
+    if pairs:
+        rows = batch if seen is None else batch.join(seen.select("url", "md5"), ["url", "md5"], "left_anti")
+        return rows.groupBy("url", "md5").agg(F.min("text").alias("text"))
     rows = batch if seen is None else batch.join(seen.select("url"), "url", "left_anti").join(seen.select("md5"), "md5", "left_anti")
     rows = rows.groupBy("md5").agg(F.min_by(F.struct("url", "text"), "url").alias("r")).select("md5", "r.*")
     return rows.groupBy("url").agg(F.min_by(F.struct("md5", "text"), "md5").alias("r")).select("url", "r.*")
 
 
-def run_ingest(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None) -> None:
+def run_ingest(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, pairs: bool = False) -> None:
     """Drains what the stream has now, appending rows numbered from 0 to a Parquet table partitioned by batch.
 
-    A batch overwrites its own partition, so it may run twice.
+    A batch overwrites its own partition, so it may run twice; ``pairs`` as in ``first_success``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -58,10 +64,10 @@ def run_ingest(spark: SparkSession, stream: DataFrame, path: str, checkpoint: st
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             start = 0
-        new = first_success(batch, seen)
+        new = first_success(batch, seen, pairs)
         parts = new.withColumn("p", F.pmod(F.xxhash64("url"), F.lit(256)))
         counts = parts.groupBy("p").agg(F.count(F.lit(1)).alias("c")).withColumn("at", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        numbered = parts.join(counts.drop("c"), "p").withColumn("row_idx", F.row_number().over(Window.partitionBy("p").orderBy("url")) - 1 + F.col("at") + F.lit(start))
+        numbered = parts.join(counts.drop("c"), "p").withColumn("row_idx", F.row_number().over(Window.partitionBy("p").orderBy("url", "md5")) - 1 + F.col("at") + F.lit(start))
         numbered.select("url", "md5", "text", F.col("row_idx").cast("bigint").alias("row_idx")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         if sink is not None:
             sink(new, batch_id)

@@ -26,3 +26,17 @@ def test_deduplicated_is_streaming(spark, tmp_path):
     q.awaitTermination()
     assert spark.sql("select * from dedup").count() == 1
     assert s.isStreaming and F
+
+
+def test_pages_that_share_a_url_or_hash(spark, tmp_path):
+    from oracle import connect
+
+    from millrace.plans.flow_queries import ORACLES, QUERIES
+
+    rows = [(1, "http://a/1", "x"), (2, "http://a/1", "y"), (3, "http://a/2", "y"), (4, "http://a/1", "z"), (5, "http://a/0", "z"), (6, "http://a/3", "x"), (7, "http://a/0", "w"), (8, "http://a/9", "x")]
+    pages = spark.createDataFrame(rows + [(n, f"http://b/{n % 5}", f"t{n % 11}") for n in range(10, 60)] + [(None, "http://c", "c")], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    c = connect()
+    c.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = QUERIES["stream_ingest"](spark, str(tmp_path)).select("url", "md5").collect()
+    assert sorted(map(tuple, got)) == sorted(c.sql(ORACLES["stream_ingest"]).select("url, md5").fetchall())
