@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STEP = 4096
+#: Words, and bytes of lines, in a file of a stored index; small tables have the number of files asked for.
+FILE_WORDS = 2_000_000
+FILE_BYTES = 64 << 20
 
 
 def number_lines(df: DataFrame, doc: str = "doc_id", pos: str = "pos", step: int = STEP) -> DataFrame:
@@ -28,8 +31,12 @@ def number_lines(df: DataFrame, doc: str = "doc_id", pos: str = "pos", step: int
 
 
 def write_index(lines: DataFrame, path: str, partitions: int) -> None:
-    """Lines as Parquet, ranged and sorted by number: point and range lookups prune by the files' statistics."""
-    lines.repartitionByRange(partitions, "line_no").sortWithinPartitions("line_no").write.parquet(path)
+    """Lines as Parquet, ranged and sorted by number: point and range lookups prune by the files' statistics.
+
+    ``partitions`` is the least number of files, large tables have more.
+    """
+    size = lines.agg(F.sum(F.octet_length("line"))).first()[0] or 0
+    lines.repartitionByRange(max(partitions, -(-size // FILE_BYTES)), "line_no").sortWithinPartitions("line_no").write.parquet(path)
 
 
 def lookup_range(lines: DataFrame, start: int, stop: int) -> DataFrame:
@@ -85,10 +92,16 @@ def bm25(docs: DataFrame, key: str, text: str, wanted: Sequence[str], top: int,
 
 
 def write_terms(docs: DataFrame, key: str, text: str, path: str, partitions: int) -> None:
-    """A search index: terms ranged and sorted, so that a search prunes by the files' statistics, and the counts it needs."""
-    found = inverted_index(docs, key, text)
-    found.withColumnRenamed(key, "key").repartitionByRange(partitions, "term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    """A search index: terms ranged and sorted, so that a search prunes by the files' statistics, and the counts it needs.
+
+    ``partitions`` is the least number of files, large tables have more; a
+    frequent term's rows go to several, in the order of the key.
+    """
     docs.select(F.size(terms(F.col(text))).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).write.parquet(f"{path}/counts")
+    counts = docs.sparkSession.read.parquet(f"{path}/counts").first()
+    words = int(counts["n"] * (counts["avg"] or 0))
+    found = inverted_index(docs, key, text).withColumnRenamed(key, "key")
+    found.repartitionByRange(max(partitions, -(-words // FILE_WORDS)), "term", "key").sortWithinPartitions("term", "key").write.parquet(f"{path}/terms")
 
 
 def search_terms(spark: SparkSession, path: str, wanted: Sequence[str], top: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
