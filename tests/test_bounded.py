@@ -2,7 +2,7 @@
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from millrace.operators import corpus
+from millrace.operators import corpus, rewrite
 
 
 def test_a_frequent_term_goes_to_several_files(spark, tmp_path, monkeypatch):
@@ -20,3 +20,15 @@ def test_stored_lines_grow_in_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus, "FILE_BYTES", 1000)
     corpus.write_index(spark.range(1000).select(F.col("id").alias("line_no"), F.lit("0123456789").alias("line")), str(tmp_path / "i"), 2)
     assert len(list((tmp_path / "i").glob("*.parquet"))) >= 8 and spark.read.parquet(str(tmp_path / "i")).count() == 1000
+
+
+def test_chunks_leave_a_task_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(rewrite, "CHUNK_ROWS", 3)
+    long = "A sentence of some words here. " * 60
+    rows = [(1, long), (2, None), (3, ""), (4, long + "x" * 400), (5, "short"), (6, long)] * 3
+    df = spark.createDataFrame([(k * 10 + n, t) for n, (k, t) in enumerate(rows)], "k int, t string")
+    got = rewrite.chunks(df.coalesce(1), "k", "t")
+    assert got.schema.simpleString() == "struct<k:int,chunk_no:int,chunk:string>"
+    assert "MapInArrow" in got._jdf.queryExecution().toString() and "ArrowEvalPython" not in got._jdf.queryExecution().toString()
+    want = [(k * 10 + n, i, c) for n, (k, t) in enumerate(rows) if t for i, c in enumerate(rewrite.chunk_text(t))]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
