@@ -1,8 +1,10 @@
 """Steps whose largest task doesn't follow the table."""
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from millrace.operators import corpus, rewrite
+from millrace.plans import fixtures
 
 
 def test_a_frequent_term_goes_to_several_files(spark, tmp_path, monkeypatch):
@@ -32,3 +34,10 @@ def test_chunks_leave_a_task_in_small_batches(spark, monkeypatch):
     assert "MapInArrow" in got._jdf.queryExecution().toString() and "ArrowEvalPython" not in got._jdf.queryExecution().toString()
     want = [(k * 10 + n, i, c) for n, (k, t) in enumerate(rows) if t for i, c in enumerate(rewrite.chunk_text(t))]
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+
+
+def test_captions_of_one_file_are_dealt_over_cores(spark, tmp_path):
+    pq.write_table(pa.table({"p_partkey": pa.array(range(4000), pa.int64())}), str(tmp_path / "part.parquet"))
+    c = fixtures.captions(spark, str(tmp_path))
+    dealt = [r.n for r in c.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(dealt) == 4000 and len(dealt) >= spark.sparkContext.defaultParallelism and max(dealt) < 1000
