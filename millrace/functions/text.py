@@ -90,15 +90,19 @@ def words(t: Column) -> Column:
     return F.filter(F.split(t, "(?U)\\s+"), lambda x: x != "")
 
 
+def _bounded(phrases: Sequence[str]) -> Column:
+    """Each phrase with the blank after it, then with the one before it: a constant list, made once and not for each row."""
+    return strs(*(x for p in phrases for x in (f"{p} ", f" {p}")))
+
+
 def has_phrase(t: Column, phrases: Sequence[str]) -> Column:
     """Whether a phrase stands before or after a blank."""
-    return F.exists(strs(*phrases), lambda p: F.contains(t, F.concat(p, F.lit(" "))) | F.contains(t, F.concat(F.lit(" "), p)))
+    return let(t, lambda t: F.exists(_bounded(phrases), lambda p: F.contains(t, p)))
 
 
 def delete_phrases(t: Column, phrases: Sequence[str]) -> Column:
     """Deletes phrases in the given order, each with the blank after it, then with the one before it."""
-    none = F.lit("")
-    fold = lambda t: F.aggregate(strs(*phrases), t, lambda acc, p: F.replace(F.replace(acc, F.concat(p, F.lit(" ")), none), F.concat(F.lit(" "), p), none))
+    fold = lambda t: F.aggregate(_bounded(phrases), t, lambda acc, p: F.replace(acc, p, F.lit("")))
     return let(t, lambda t: F.when(has_phrase(t, phrases), fold(t)).otherwise(t))
 
 
@@ -188,7 +192,7 @@ def slug_or_caption(slug_w: Column, caption_w: Column, ignore: Sequence[str]) ->
     junk_free = F.regexp_replace(F.array_join(F.filter(slug_w, lambda x: F.length(x) >= 3), ""), "[0-9]", "")
     share = F.length(junk_free) / F.nullif(F.length(F.array_join(slug_w, "")), F.lit(0))
     w = F.when((F.size(slug_w) <= 2) | (F.coalesce(share, F.lit(0)) < 0.65) | (F.length(junk_free) == 0), caption_w).otherwise(slug_w)
-    marked = lambda t: F.exists(strs(*ignore), lambda p: F.contains(t, F.concat(p, F.lit(" "))))
+    marked = lambda t: F.exists(strs(*(f"{p} " for p in ignore)), lambda p: F.contains(t, p))
     return let(F.array_join(w, " "), lambda t: F.when(marked(t), F.array_join(caption_w, " ")).otherwise(t))
 
 

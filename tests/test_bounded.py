@@ -3,6 +3,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.operators import corpus, rewrite
 from millrace.plans import fixtures
 
@@ -41,3 +42,11 @@ def test_captions_of_one_file_are_dealt_over_cores(spark, tmp_path):
     c = fixtures.captions(spark, str(tmp_path))
     dealt = [r.n for r in c.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sum(dealt) == 4000 and len(dealt) >= spark.sparkContext.defaultParallelism and max(dealt) < 1000
+
+
+def test_phrases_are_tested_on_a_value_worked_out_once(spark):
+    d = spark.createDataFrame([("a dog map of x",), ("map",), ("xmap of",), (" map of",), (None,), ("flag map of a flag ",)], "t string")
+    plan = d.where(T.has_phrase(F.concat(F.lower("t"), F.lit("")), ["map of", "flag", "wallpaper"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(t") == 1 and "concat(lambda" not in plan
+    got = d.select(T.has_phrase(F.col("t"), ["map of", "flag"]), T.delete_phrases(F.col("t"), ["map of", "flag"])).collect()
+    assert [tuple(r) for r in got] == [(True, "a dog x"), (False, "map"), (False, "xmap of"), (True, ""), (None, None), (True, "a ")]
